@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerweave.llm.simhash_dedup import simhash_components
 from ledgerweave.llm.substring_dedup import substring_dedup
 
 
@@ -15,8 +16,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_simhash_dedup": op7_simhash_dedup,
 }
 
 SQL = {
