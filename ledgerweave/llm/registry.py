@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerweave.llm.secret_scan import secret_scan
 from ledgerweave.llm.simhash_dedup import simhash_components
 from ledgerweave.llm.substring_dedup import substring_dedup
 
@@ -20,9 +21,14 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_read(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 SQL = {
