@@ -22,10 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """A written table; drop() deletes its files once nothing reads them any more."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, **options):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerweave.llm.quality_rules import quality_rules
 from ledgerweave.llm.secret_scan import secret_scan
 from ledgerweave.llm.simhash_dedup import simhash_components
 from ledgerweave.llm.substring_dedup import substring_dedup
@@ -25,10 +26,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_read(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 SQL = {
