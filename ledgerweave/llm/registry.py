@@ -8,6 +8,7 @@ from ledgerweave.llm.quality_rules import quality_rules
 from ledgerweave.llm.secret_scan import secret_scan
 from ledgerweave.llm.simhash_dedup import simhash_components
 from ledgerweave.llm.substring_dedup import substring_dedup
+from ledgerweave.llm.toxicity import toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,11 +31,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op6_toxicity": op6_toxicity,
 }
 
 SQL = {
