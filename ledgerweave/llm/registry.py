@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerweave.llm.decontaminate import contaminated
 from ledgerweave.llm.quality_rules import quality_rules
 from ledgerweave.llm.secret_scan import secret_scan
 from ledgerweave.llm.simhash_dedup import simhash_components
@@ -35,12 +36,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op6_toxicity": op6_toxicity,
+    "op2_decontaminate": op2_decontaminate,
 }
 
 SQL = {
