@@ -120,23 +120,49 @@ class Shard:
         passage = bound.copy()
         passage[:-1][~last[:-1]] += bound[1:][~last[:-1]]
         live_p, live_b = np.nonzero(passage >= (threshold - 1e-4 if pruned else -1))
+        inside = live_p < seg_first[-1]
+        live_p, live_b = live_p[inside], live_b[inside]
+        # blocks that may reach the threshold: each item's own bound, counting a term of both segments twice
+        near_p, near_i = [], []
+        for block in np.unique(live_b):
+            p = live_p[live_b == block]
+            need = np.zeros(len(bound), dtype=bool)
+            need[p] = True
+            need[p[~last[p]] + 1] = True
+            idx = np.flatnonzero(need[seg])
+            if not len(idx):
+                continue
+            s = seg[idx]
+            c = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1))
+            sums = np.zeros((len(bound), BLOCK), dtype=np.float32)
+            own = np.ascontiguousarray(self.impact[:, block * BLOCK : (block + 1) * BLOCK])
+            sums[s[c]] = np.add.reduceat(own[term[idx]], c, axis=0)
+            both = sums[p]
+            both[~last[p]] += sums[p[~last[p]] + 1]
+            r, i = np.nonzero(both >= (threshold - 1e-4 if pruned else -1))
+            near_p.append(p[r])
+            near_i.append(i + block * BLOCK)
+        if not near_p:
+            return []
+        near_p, near_i = np.concatenate(near_p), np.concatenate(near_i)
+        order = np.lexsort((near_i, near_p))
+        near_p, near_i = near_p[order], near_i[order]
         seg_end = np.append(cut[1:], len(seg))
-        where = {int(s): (int(a), int(b)) for s, a, b in zip(seg[cut], cut, seg_end)} if len(live_p) else {}
+        where = {int(s): (int(a), int(b)) for s, a, b in zip(seg[cut], cut, seg_end)}
         seg_text = np.repeat(np.arange(len(n_seg)), n_seg)
         out = []
-        for p in np.unique(live_p):
-            if p >= seg_first[-1]:
-                continue
-            blocks = live_b[live_p == p] if len(live_p) < 64 else live_b[np.searchsorted(live_p, p) : np.searchsorted(live_p, p, "right")]
+        starts = np.concatenate(([0], np.flatnonzero(near_p[1:] != near_p[:-1]) + 1)) if len(near_p) else []
+        for x, y in zip(starts, [*starts[1:], len(near_p)]):
+            p = int(near_p[x])
             mine = [term[slice(*where[s])] for s in ((p,) if last[p] else (p, p + 1)) if s in where]
             if not mine:
                 continue
             mine = np.unique(np.concatenate(mine))
-            columns = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            scores = self.impact[np.ix_(mine, columns)].sum(axis=0)
             t = int(seg_text[p])
             begin = int(first[t] + (p - seg_first[t]) * stride)
             end = int(min(first[t + 1], begin + 2 * stride))
+            columns = near_i[x:y]
+            scores = self.impact[np.ix_(mine, columns)].sum(axis=0)
             for c in np.flatnonzero(scores >= threshold):
                 if columns[c] < len(self.ids):
                     out.append((t, begin, end, int(columns[c]), float(scores[c])))

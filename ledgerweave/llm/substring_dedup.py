@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerweave.llm._store import Stored, n_partitions
 from ledgerweave.llm._words import U64, Words, groups, narrow, pack, pieces, planes, unpack, unplanes, windows
 
 #: Perfect difference covers: period -> positions.
@@ -98,8 +99,8 @@ def _unfold(x: np.ndarray) -> np.ndarray:
     return np.where(x & 1, -(x + 1) // 2, x // 2)
 
 
-def _answers(blobs: list[bytes], smaller: bool) -> pa.Table:
-    """Per document, the positions whose key another (smaller) document has."""
+def _answers(blobs: list[bytes], smaller: bool, n_to: int) -> pa.Table:
+    """Per document, the positions whose key another (smaller) document has; packed by where the document goes."""
     cols, out = [], []
     for blob in blobs:
         (ids, prints, n), key, extra, step, known, (kids, kprints, kn, kpos) = unpack(blob)
@@ -136,10 +137,25 @@ def _answers(blobs: list[bytes], smaller: bool) -> pa.Table:
             cut = np.flatnonzero((i[1:] != i[:-1]) | (p[1:] != p[:-1])) + 1
             for part, at in zip(np.split(x, cut), np.concatenate(([0], cut))):
                 out.append((int(i[at]), int(p[at]), part))
+    to: dict = {}
+    for i, p, x in out:
+        to.setdefault((i ^ p) % n_to, []).append((i, p, x))
     return pa.table({
-        "rank": pa.array([x[0] for x in out], pa.int64()),
-        "print": pa.array([x[1] for x in out], pa.int64()),
-        "at": pa.array([np.asarray(x[2], dtype="<u4").tobytes() for x in out], pa.binary()),
+        "bucket": pa.array(list(to), pa.int32()),
+        "blob": pa.array([pack([x[0] for x in v], [x[1] for x in v], [narrow(x[2]) for x in v]) for v in to.values()], pa.binary()),
+    })
+
+
+def _delivered(table: pa.Table) -> pa.Table:
+    """A row per document from the packed answers of all buckets."""
+    at: dict = {}
+    for blob in table.column("blob").to_pylist():
+        for i, p, x in zip(*unpack(blob)):
+            at.setdefault((i, p), []).append(x)
+    return pa.table({
+        "rank": pa.array([k[0] for k in at], pa.int64()),
+        "print": pa.array([k[1] for k in at], pa.int64()),
+        "at": pa.array([np.unique(np.concatenate(v)).astype("<u4").tobytes() for v in at.values()], pa.binary()),
     })
 
 
@@ -174,7 +190,7 @@ def _rows(blobs):
 
 def _marked(column, first, rows):
     """For each text, the positions sent for it."""
-    return [np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in p])).astype(np.int64) if p else np.empty(0, np.int64) for p in column.slice(first, len(rows)).to_pylist()]
+    return [np.frombuffer(x, "<u4").astype(np.int64) for x in column.slice(first, len(rows)).to_pylist()]
 
 
 def _extend(period, length, n_buckets):
@@ -203,16 +219,19 @@ def _extend(period, length, n_buckets):
 
 
 def _cut(length, with_text):
+    """For each text: n_words, n_removed, kept_sha256 and the kept text; `at` is absent where nothing goes."""
+
     def run(batches):
         for batch in batches:
+            names = [n for n in batch.schema.names if n not in ("text", "at")]
+            marked = "at" in batch.schema.names
             n_words, n_removed, sha, kept_text = [], [], [], []
             for first, rows in pieces(batch.column("text")):
                 w = Words(rows)
                 gone = np.zeros(len(w) + 1, dtype=np.int32)
-                for t, m in enumerate(_marked(batch.column("at"), first, rows)):
-                    if len(m):
-                        np.add.at(gone, w.first[t] + m, 1)
-                        np.add.at(gone, w.first[t] + m + length, -1)
+                for t, m in enumerate(_marked(batch.column("at"), first, rows) if marked else []):
+                    np.add.at(gone, w.first[t] + m, 1)
+                    np.add.at(gone, w.first[t] + m + length, -1)
                 keep = np.cumsum(gone)[:-1] == 0
                 joined, off = w.spaced(keep)
                 kept_at = np.concatenate(([0], np.cumsum(keep)))[w.first]
@@ -220,50 +239,54 @@ def _cut(length, with_text):
                     a, b = off[kept_at[t]], off[kept_at[t + 1]]
                     x = joined[a : max(a, b - 1)]
                     sha.append(hashlib.sha256(x).hexdigest())
-                    kept_text.append(x.decode("utf-8", "replace") if with_text else None)
+                    kept_text.append(x.decode() if with_text else None)
                 n_words += np.diff(w.first).tolist()
                 n_removed += (np.diff(w.first) - np.diff(kept_at)).tolist()
-            names = [n for n in batch.schema.names if n not in ("text", "at")]
             yield pa.record_batch(
                 [batch.column(n) for n in names] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())] + ([pa.array(kept_text, pa.string())] if with_text else []),
-                names=[*names, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text,
+                names=[*names, *_OUT, *(["kept_text"] if with_text else [])],
             )
 
     return run
 
 
+_OUT = ("n_words", "n_removed", "kept_sha256")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, period: int = 7, with_text: bool = False) -> DataFrame:
     """Remove words covered by a `length`-word window that a document with a smaller id has too.
 
     Returns the id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+    Texts cross the network once, to meet the anchors they share; those that
+    share any are kept in the shared folder for the second meeting.
     """
     if period not in COVERS or period > length:
         raise ValueError(f"period must be one of {sorted(COVERS)} and at most the length")
-    spark = docs.sparkSession
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(
+    n = n_partitions(docs.sparkSession)
+    all_rows = docs.select(
+        F.col(id_col).alias("id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"),
         F.col(text_col).alias("text"),
     )
-    rows = rows.where(F.length("text") >= 2 * length - 1)  # shorter texts have no window
+    rows = all_rows.select("rank", "print", "text").where(F.length("text") >= 2 * length - 1)  # shorter texts have no window
 
     def ask(stage: DataFrame, smaller: bool) -> DataFrame:
         def answer(table: pa.Table) -> pa.Table:
-            return _answers(table.column("blob").to_pylist(), smaller)
+            return _answers(table.column("blob").to_pylist(), smaller, n)
 
-        told = stage.groupBy("bucket").applyInArrow(answer, "rank long, print long, at binary")
-        return told.groupBy("rank", "print").agg(F.collect_list("at").alias("at"))
+        told = stage.groupBy("bucket").applyInArrow(answer, "bucket int, blob binary")
+        return told.groupBy("bucket").applyInArrow(_delivered, "rank long, print long, at binary")
 
     shared = ask(rows.mapInArrow(_anchors(COVERS[period], period, length, n), "bucket int, blob binary"), False)
-    near = rows.join(shared, ["rank", "print"])
-    gone = ask(near.select("rank", "print", "text", "at").mapInArrow(_extend(period, length, n), "bucket int, blob binary"), True)
-    full = docs.select(
-        F.col(id_col).alias(id_col),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"),
-        F.col(text_col).alias("text"),
-    ).join(gone, ["rank", "print"], "left").select(F.col(id_col), "text", "at")
+    near = Stored(rows.join(shared, ["rank", "print"]), "near", compression="zstd").df
+    gone = ask(near.mapInArrow(_extend(period, length, n), "bucket int, blob binary"), True)
+    extra = ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    cut = near.drop("at").join(gone, ["rank", "print"]).select("rank", "print", "text", "at").mapInArrow(_cut(length, with_text), "rank long, print long" + extra)
+    new = [*_OUT[1:], *(["kept_text"] if with_text else [])]
+    changed = cut.dropDuplicates(["rank", "print"]).select("rank", "print", *(F.col(c).alias(f"_{c}") for c in new))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return full.mapInArrow(_cut(length, with_text), schema)
+    whole = all_rows.mapInArrow(_cut(length, with_text), f"id {kind}, rank long, print long" + extra)
+    return whole.join(changed, ["rank", "print"], "left").select(
+        F.col("id").alias(id_col), "n_words", *(F.coalesce(f"_{c}", c).alias(c) for c in new)
+    )
