@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerweave.llm import license_scan as licenses, mixing
 from ledgerweave.llm.decontaminate import contaminated
+from ledgerweave.llm.line_dedup import line_dedup
+from ledgerweave.llm.pitman_yor import score_texts
 from ledgerweave.llm.quality_rules import quality_rules
 from ledgerweave.llm.secret_scan import secret_scan
 from ledgerweave.llm.simhash_dedup import simhash_components
@@ -40,7 +43,27 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_read(spark, sf_dir, "documents"), licenses.known_table(spark))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
+    "op3_license_scan": op3_license_scan,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_mixing": op8_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op10_secret_scan": op10_secret_scan,
@@ -50,6 +73,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_license_scan": licenses.SQL,
+    "op8_mixing": mixing.SQL,
     "op4_substring_dedup": r"""
 with d as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
