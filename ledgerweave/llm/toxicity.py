@@ -67,11 +67,11 @@ def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, earlier: np.ndarray
     empty = Linear(np.empty(0, np.uint32), np.empty(0), float(np.log(rate / (1 - rate))), np.zeros(k))
     if pos < 5 or n - pos < 5:
         return empty
-    use = row >= 0
-    both = np.bincount(feature[use], minlength=1 << BITS)
-    ones = np.bincount(feature[use], weights=y[row[use]], minlength=1 << BITS)
+    row, feature = row[use := row >= 0], feature[use]
+    both = np.bincount(feature, minlength=1 << BITS)
     seen = np.flatnonzero(both >= 5)
-    b, o = both[seen], ones[seen]
+    b, o = both[seen], np.bincount(feature[y[row] > 0], minlength=1 << BITS)[seen]
+    del both, use
     p = (b + 1) / (n + 2)
     z = (o / pos - (b - o) / (n - pos)) / np.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)))
     best = np.argsort(-np.abs(z), kind="stable")[:n_features]
@@ -79,8 +79,9 @@ def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, earlier: np.ndarray
     at = np.full(1 << BITS, -1, dtype=np.int32)
     at[ids] = np.arange(len(ids))
     column = at[feature]
-    ok = use & (column >= 0)
+    ok = column >= 0
     r, c = row[ok], column[ok]
+    del row, feature, column, ok, at
     weight, chain, bias = np.zeros(len(ids)), np.zeros(k), float(np.log(rate / (1 - rate)))
     m, v = np.zeros(len(ids) + k + 1), np.zeros(len(ids) + k + 1)
     for t in range(1, steps + 1):
@@ -134,7 +135,7 @@ def _sample_rows(batches):
         yield pa.record_batch([*batch.columns[1:], pa.array(blobs, pa.binary())], names=[*batch.schema.names[1:], "blob"])
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str = "doc_id", text_col: str = "text", max_train: int = 16000, folds: int = 3) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str = "doc_id", text_col: str = "text", max_train: int = 6000, folds: int = 3) -> Chain:
     """Fit the chain; categories: name -> 0/1 expression over labels, in chain order."""
     names = list(categories)
     known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), *(F.expr(e).cast("int").alias(f"c{k}") for k, e in enumerate(categories.values())))
@@ -149,13 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str = "d
     labels_of = [np.array([-1 if x is None else x for x in got.column(k).to_pylist()], dtype=np.int64)[order] if parts else np.empty(0, np.int64) for k in range(len(names))]
     del got, blobs
     n = len(parts)
-    row = np.repeat(np.arange(n), [len(x) for x in parts])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in parts])
     feature = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+    del parts
     fold = np.arange(n) % folds
     earlier, models = np.zeros((n, 0)), []
 
     def part(mask):
-        to = np.full(n, -1)
+        to = np.full(n, -1, dtype=np.int32)
         to[mask] = np.arange(mask.sum())
         return to[row]
 
