@@ -6,7 +6,11 @@ minor units.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ledgerweave.operators.numbering import dense_number
 
 _CURRENCY = "case n_regionkey when 0 then 'ZAR' when 1 then 'USD' when 2 then 'INR' when 3 then 'EUR' else 'AED' end"
 
@@ -59,13 +63,36 @@ select o_orderkey + 1 as seq, concat('p:', cast(o_orderkey as string)) as key,
 from orders join customer on o_custkey = c_custkey
 """
 
+#: Operations of every kind, some of them wrong in one way or several.
+OPS = """
+select event_id + 1 as seq,
+       case event_id % 5 when 0 then 'create_account' when 1 then 'transfer' when 2 then 'reserve' when 3 then 'settle' else 'cancel' end as kind,
+       case when event_id % 97 = 3 then '' else concat('e:', cast(event_id as string)) end as key,
+       cast(null as bigint) as ts_nanos,
+       case when event_id % 89 = 0 then null else concat('c:', cast(user_id as string)) end as account_id,
+       case when event_id % 83 = 0 then 'usd' when event_id % 79 = 0 then concat('USD', chr(10)) else 'USD' end as currency,
+       case when event_id % 73 = 0 then -1 else cast(round(value * 100) as bigint) end as opening_balance,
+       case when event_id % 71 = 0 then '' else concat('h:', cast(event_id as string)) end as hold_id,
+       concat('c:', cast(user_id as string)) as from_account,
+       case when event_id % 67 = 1 then concat('c:', cast(user_id as string)) else concat('c:', cast(user_id + 1 as string)) end as to_account,
+       case when event_id % 61 < 5 then -cast(round(value * 100) as bigint) else cast(round(value * 100) as bigint) end as amount,
+       event_id % 101 = 7 as cancelled
+from events
+"""
+
+#: Accounts with what their open holds reserve.
+STATES = f"""
+select a.id, a.currency, a.opening as balance, cast(coalesce(h.held, 0) as bigint) as reserved
+from ({ACCOUNTS}) a left join (
+  select from_account, sum(amount) as held from ({HOLDS}) x where status = 'reserved' group by from_account
+) h on h.from_account = a.id
+"""
+
 _TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The statement over the tables of a folder, each passed by reference, so that no view is left behind."""
-    import re
-
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"\b{t}\b", sql)}
     text = re.sub(rf"\b(from|join)\s+({'|'.join(used)})\b", lambda m: f"{m[1]} {{{m[2]}}}", sql)
     return spark.sql(text, **used)
@@ -77,11 +104,14 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, ts, key, from_account, to_account, amount.
-
-    seq is a total order over all payments; the plan drops that window where seq isn't used.
-    """
-    return run(spark, sf_dir, PAYMENTS)
+    """seq, ts, key, from_account, to_account, amount; seq is a total order, numbered day by day."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    rows = read("lineitem").join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = dense_number(rows, "seq", F.to_date("l_shipdate"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return rows.selectExpr(
+        "cast(seq as bigint) as seq", "l_shipdate as ts", "concat('o:', l_orderkey, ':', l_linenumber) as key", "concat('c:', o_custkey) as from_account",
+        "concat('s:', l_suppkey) as to_account", "cast(round(l_extendedprice * (1 - l_discount) * 100) as bigint) as amount",
+    )
 
 
 def holds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,3 +127,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, key, from_account, to_account, amount."""
     return run(spark, sf_dir, P2P)
+
+
+def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, OPS)
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, currency, balance, reserved."""
+    return run(spark, sf_dir, STATES)
