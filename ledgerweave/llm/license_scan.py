@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerweave.llm._store import Stored
+
 #: Spellings that licence guidelines hold equivalent, in canonical form on the right.
 SPELLINGS = (
     ("licenc", "licens"),
@@ -78,12 +80,13 @@ def canonical_lines(text: Column) -> Column:
     return x
 
 
-def whole(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, BLANKS, " "))
+def filled_lines(text: Column) -> Column:
+    """Lines of the canonical form that aren't empty, given canonical_lines; joined by blanks they are the whole."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def digest(form: Column) -> Column:
-    return F.when(form != "", F.sha2(form, 256))
+    return F.when(form != "", F.unhex(F.sha2(form, 256)))
 
 
 def known_table(spark: SparkSession) -> DataFrame:
@@ -92,16 +95,21 @@ def known_table(spark: SparkSession) -> DataFrame:
 
 def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, canonical_sha256, license_id (of the whole text) and line_licenses (sorted names of those whose text a line is)."""
-    names = known.select(digest(whole(canonical_lines(F.col("text")))).alias("d"), "license_id").where("d is not null").groupBy("d").agg(F.min("license_id").alias("name"))
-    form = docs.select(F.col(id_col).alias("_id"), canonical_lines(F.col(text_col)).alias("_form"))
-    lines = form.select("_id", digest(whole(F.col("_form"))).alias("_all"), F.explode(F.split("_form", "\n")).alias("_line"))
-    lines = lines.select("_id", "_all", digest(F.trim("_line")).alias("d"))
-    quoted = lines.join(names, "d").groupBy("_id", "_all").agg(F.sort_array(F.collect_set("name")).alias("line_licenses"))
-    out = form.select("_id", digest(whole(F.col("_form"))).alias("_all"))
-    out = out.join(names.withColumnRenamed("d", "_all"), "_all", "left")
+
+    def digests(df: DataFrame, text: str, *keep: Column) -> DataFrame:
+        # step by step, so that no form is computed twice
+        form = df.select(*keep, canonical_lines(F.col(text)).alias("_form"))
+        form = form.select("*", filled_lines(F.col("_form")).alias("_lines")).drop("_form")
+        form = form.select("*", F.array_join("_lines", " ").alias("_whole"))
+        return form.select("*", digest(F.col("_whole")).alias("_all"), F.transform("_lines", lambda x: F.unhex(F.sha2(x, 256))).alias("_each")).drop("_whole", "_lines")
+
+    names = digests(known, "text", F.col("license_id")).where("_all is not null").groupBy(F.col("_all").alias("d")).agg(F.min("license_id").alias("name"))
+    form = Stored(digests(docs, text_col, F.col(id_col).alias("_id")), "canonical").df  # 32 bytes a line
+    quoted = form.select("_id", "_all", F.explode("_each").alias("d")).join(names, "d").groupBy("_id", "_all").agg(F.sort_array(F.collect_set("name")).alias("line_licenses"))
+    out = form.select("_id", "_all").join(names.withColumnRenamed("d", "_all"), "_all", "left")
     quoted = quoted.select(F.col("_id").alias("_q"), F.col("_all").alias("_qa"), "line_licenses")
     out = out.join(quoted, out["_id"].eqNullSafe(quoted["_q"]) & (out["_all"] == quoted["_qa"]), "left")
-    return out.select(F.col("_id").alias(id_col), F.col("_all").alias("canonical_sha256"), F.col("name").alias("license_id"), F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
+    return out.select(F.col("_id").alias(id_col), F.lower(F.hex("_all")).alias("canonical_sha256"), F.col("name").alias("license_id"), F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
 
 
 def _sql_form(column: str) -> str:
