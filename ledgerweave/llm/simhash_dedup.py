@@ -178,25 +178,32 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     return light.unionAll(dense).repartition(n, "key", "pair").select(F.col("key").cast("long"), "pair", "side", "fp").mapInArrow(_links(radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
-    """The id, fingerprint (hex) and component_id, the smallest id reachable by links."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, radius: int) -> DataFrame:
+    """_id, print (hash of the text), fp, root (of the component) and component_id of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    fps = Stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_fingerprints(shingle, seed), f"_id {kind}, fp long"), "fingerprints").df
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("_text"))
+    fps = Stored(rows.mapInArrow(_fingerprints(shingle, seed), f"_id {kind}, print long, fp long"), "fingerprints").df
     distinct = Stored(fps.groupBy("fp").agg(F.min("_id").alias("least")), "classes").df
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     class_of = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = class_of.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = class_of.join(first, "root").select("fp", "component_id")
-    return fps.join(known, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(class_of.join(first, "root").select("fp", "root", "component_id"), "fp")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
+    """The id, fingerprint (hex) and component_id, the smallest id reachable by links."""
+    at = _judged(docs, id_col, text_col, shingle, seed, radius)
+    return at.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """Documents without near copies: of each component the row with the smallest id stays, all columns kept.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
+    """Documents without near copies: of each component the row with the smallest id stays (null ids last), all columns kept.
 
-    Of rows that share that id, one stays; if no row of a component has an id, one of them stays.
+    Of rows of a component that share that id one stays; a component whose rows
+    have no ids keeps one of them.
     """
-    at = simhash_components(docs, id_col, text_col, **params)
-    best = at.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep"), "component_id").distinct()
-    named = [c for c in docs.columns]
-    kept = docs.join(best, docs[id_col].eqNullSafe(best["_keep"]), "left_semi")
-    return kept.dropDuplicates([id_col]).select(*named)
+    at = _judged(docs, id_col, text_col, shingle, seed, radius)
+    best = at.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "print")).alias("x")).select(F.col("x._id").alias("_keep"), F.col("x.print").alias("_print"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"))
+    kept = rows.join(best, rows["_id"].eqNullSafe(best["_keep"]) & (rows["_text"] == best["_print"]), "left_semi")
+    return kept.dropDuplicates(["_id", "_text"]).select("_row.*")

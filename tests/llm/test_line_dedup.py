@@ -4,14 +4,17 @@ import random
 from ledgerweave.llm import line_dedup as ld
 
 
-def distance(a, b):
+def distance(a, b, most=10**9):
+    """Edit distance, or anything above `most`."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
-    return row[-1]
+        if min(row) > most:
+            break
+    return row[-1] if min(row) <= most else most + 1
 
 
 def edited(r, line, k):
@@ -43,7 +46,7 @@ def brute(rows, threshold, min_chars):
 
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold:
+            if abs(len(a) - len(b)) <= threshold and distance(a, b, threshold) <= threshold:
                 root[find(a)] = find(b)
     first = {}
     where = [(rank(i), t, k, x) for i, t in rows if t is not None for k, x in enumerate(t.split("\n")) if len(x) >= min_chars]
