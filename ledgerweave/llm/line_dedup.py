@@ -4,8 +4,8 @@ Lines within `threshold` edits of each other, and whatever such links connect,
 are one class; of each class the first line (smallest id, then smallest
 position) stays.  Of threshold + 1 segments of the shorter line of a pair, one
 is found whole in the longer line near its own place, so lines meet on a hash
-of (length, number, segment).  Pairs that meet are kept if parities of letter
-counts allow the distance, and verified on their texts: what lies between the
+of (length, number, segment).  Pairs that meet are kept if counts of letters
+allow the distance, and verified on their texts: what lies between the
 common beginning and end goes through a banded bit-parallel automaton, a word
 of 2 * threshold + 1 diagonals per number of edits.
 
@@ -25,8 +25,9 @@ from ledgerweave.llm._components import components
 from ledgerweave.llm._store import Stored
 
 NO_ID = 2**63 - 1
-#: Letters whose counts' parities are compared before texts are.
-LETTERS = "etaoinsrhldcumgy"
+#: Letters whose counts modulo 8 are compared before texts are; an edit changes two of them at most.
+LETTERS = "etaoin"
+COUNTS = (1 << 3 * len(LETTERS)) - 1
 #: Lines to verify whose ids (8 bytes each) may be sent to every task; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 
@@ -40,14 +41,14 @@ def _size(i: int, t: int, length: str) -> str:
 
 
 def _keys(threshold: int) -> Column:
-    """Structs (h, m): m has the parities, above them 1 for a probe and 2 more for a probe of shorter lines."""
+    """Structs (h, m), null where a probe doesn't fit: m has the counts, above them 1 for a probe and 2 more for a probe of shorter lines."""
     t, out = threshold, []
 
     def key(i: int, length: str, shift: int, flag: int) -> str:
         at = f"({_start(i, t, length)} + {shift})"
         size = _size(i, t, length)
         fits = f"{at} >= 1 and {at} + {size} - 1 <= n" if flag else "true"
-        return f"if({fits}, named_struct('h', xxhash64({i}, {length}, substring(line, {at}, {size})), 'm', parity + {flag << len(LETTERS)}), null)"
+        return f"if({fits}, named_struct('h', xxhash64({i}, {length}, substring(line, {at}, {size})), 'm', counts + {flag * (COUNTS + 1)}), null)"
 
     for i in range(t + 1):
         out.append(key(i, "n", 0, 0))
@@ -56,7 +57,7 @@ def _keys(threshold: int) -> Column:
             # either the left or the right part has few edits, which bounds how far a segment has moved
             for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
                 out.append(key(i, f"(n - {less})", shift, 3 if less else 1))
-    return F.expr(f"filter(array({', '.join(out)}), x -> x is not null)")
+    return F.expr(f"array({', '.join(out)})")
 
 
 def _bits(parts: list[str]) -> str:
@@ -83,19 +84,23 @@ def within(a: str, b: str, threshold: int) -> str:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank"), F.xxhash64(F.col(text_col)).alias("print"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank"), F.xxhash64(F.col(text_col)).alias("print"), F.split(text_col, "\n").alias("_lines"))
+    rows = rows.select("rank", "print", F.posexplode("_lines").alias("pos", "line"))
     return rows.where(F.length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
 
 
 def line_links(lines: DataFrame, threshold: int) -> DataFrame:
     """Edges (a, b) between ids of different lines(id, line) within the threshold: every such pair once."""
-    parity = _bits([f"shiftleft((length(line) - length(replace(line, '{c}', ''))) & 1, {k})" for k, c in enumerate(LETTERS)])
-    rows = lines.select("id", "line", F.length("line").alias("n"), F.expr(parity).alias("parity"))
-    keys = rows.select("id", F.explode(_keys(threshold)).alias("x")).select("id", "x.h", "x.m").distinct()
-    probe = 1 << len(LETTERS)
+    counts = _bits([f"shiftleft((octet_length(line) - octet_length(replace(line, '{c}', ''))) & 7, {3 * k})" for k, c in enumerate(LETTERS)])
+    rows = lines.select("id", "line", F.length("line").alias("n"), F.expr(counts).alias("counts"))
+    keys = rows.select("id", F.explode(_keys(threshold)).alias("x")).where("x is not null").select("id", "x.h", "x.m")
+    keys = Stored(keys.distinct(), "line-keys").df  # both sides of the join read it
+    probe = COUNTS + 1
     a = keys.where(F.col("m") < probe).select("h", F.col("id").alias("a"), F.col("m").alias("ma"))
     b = keys.where(F.col("m") >= probe).select("h", F.col("id").alias("b"), F.col("m").alias("mb"))
-    near = (F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")).bitwiseAND(probe - 1)) <= 2 * threshold) & (F.col("a") != F.col("b")) & ((F.col("mb") >= 2 * probe) | (F.col("a") < F.col("b")))
+    x = F.col("ma").bitwiseXOR(F.col("mb"))
+    differ = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseAND(sum(1 << 3 * k for k in range(len(LETTERS))))
+    near = (F.bit_count(differ) <= 2 * threshold) & (F.col("a") != F.col("b")) & ((F.col("mb") >= 2 * probe) | (F.col("a") < F.col("b")))
     pairs = Stored(a.join(b, (a["h"] == b["h"]) & near).select("a", "b").distinct(), "line-pairs").df
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ids.count() <= MOST_SENT:
