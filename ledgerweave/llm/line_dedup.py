@@ -89,6 +89,16 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     return rows.where(F.length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
 
 
+def _allowed(threshold: int) -> str:
+    """SQL for: the letter counts ma and mb differ by no more than threshold edits can make them.
+
+    An edit takes one letter away, puts one in, or both.
+    """
+    differ = [f"((((shiftright(ma, {3 * k}) & 7) - (shiftright(mb, {3 * k}) & 7) + 12) & 7) - 4)" for k in range(len(LETTERS))]
+    changes = f"{' + '.join(f'abs({d})' for d in differ)} <= {2 * threshold}"
+    return f"{changes} and abs({' + '.join(differ)}) <= {threshold}" if threshold < 4 else changes  # modulo 8, larger changes have no sign
+
+
 def line_links(lines: DataFrame, threshold: int) -> DataFrame:
     """Edges (a, b) between ids of different lines(id, line) within the threshold: every such pair once."""
     counts = _bits([f"shiftleft((octet_length(line) - octet_length(replace(line, '{c}', ''))) & 7, {3 * k})" for k, c in enumerate(LETTERS)])
@@ -98,9 +108,7 @@ def line_links(lines: DataFrame, threshold: int) -> DataFrame:
     probe = COUNTS + 1
     a = keys.where(F.col("m") < probe).select("h", F.col("id").alias("a"), F.col("m").alias("ma"))
     b = keys.where(F.col("m") >= probe).select("h", F.col("id").alias("b"), F.col("m").alias("mb"))
-    x = F.col("ma").bitwiseXOR(F.col("mb"))
-    differ = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseAND(sum(1 << 3 * k for k in range(len(LETTERS))))
-    near = (F.bit_count(differ) <= 2 * threshold) & (F.col("a") != F.col("b")) & ((F.col("mb") >= 2 * probe) | (F.col("a") < F.col("b")))
+    near = F.expr(_allowed(threshold)) & (F.col("a") != F.col("b")) & ((F.col("mb") >= 2 * probe) | (F.col("a") < F.col("b")))
     pairs = Stored(a.join(b, (a["h"] == b["h"]) & near).select("a", "b").distinct(), "line-pairs").df
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ids.count() <= MOST_SENT:
