@@ -30,6 +30,7 @@ training texts every token is unknown; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -41,13 +42,23 @@ from ledgerweave.llm._words import U64, Words, groups, narrow, pack, pieces, pla
 
 END, START = U64(0x0E4D), U64(0x57A7)
 #: Tokens of a task that are sorted and sent together.
-FLUSH_TOKENS = 4 << 20
+FLUSH_TOKENS = 2 << 20
+PIECE_BYTES = 1 << 20
 EXACT = 256
 FIXED = float(1 << 32)  # sums of logarithms travel as whole multiples of 2 ** -32
 ROW = "bucket int, kind int, flush long, blob binary"
 ENTRIES, DOCS, SUMS = 0, 1, 2
 
 
+def give_back_memory() -> None:
+    """Make large arrays return to the system when they are freed: workers are used again by later stages."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # glibc
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def _sorted_planes(x: np.ndarray) -> np.ndarray:
     return planes(np.diff(x, prepend=U64(0)), 8)
 
@@ -150,18 +161,21 @@ class _Tokens:
 
     def blobs(self, flush: int, n: int):
         token, size = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+        self.parts = []
         train = np.concatenate([t for _, t in self.docs])
         yield flush % n, DOCS, flush, pack(pa.concat_arrays([i for i, _ in self.docs]), ~train, size)
-        doc = np.repeat(np.arange(len(size)) * 2 + train, size)
-        vocab, word = np.unique(token, return_inverse=True)
-        before = np.empty(len(word), dtype=np.int64)
-        before[1:] = word[:-1]
-        before[np.cumsum(size) - size] = len(vocab)
+        vocab, key = np.unique(token, return_inverse=True)
         del token
-        key = word * np.int64(len(vocab) + 1) + before
+        before = np.empty(len(key), dtype=np.uint32)
+        before[1:] = key[:-1]
+        before[np.cumsum(size) - size] = len(vocab)
+        key *= len(vocab) + 1
+        key += before
+        del before
         order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        del order, before, word
+        key = key[order]
+        doc = np.repeat((np.arange(len(size)) * 2 + train).astype(np.uint32), size)[order]
+        del order
         at = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) + 1))
         times, key, doc = np.diff(np.append(at, len(key))), key[at], doc[at]
         at = groups(key)
@@ -187,10 +201,11 @@ def _send(n: int):
     def run(batches):
         from pyspark import TaskContext
 
+        give_back_memory()
         flush, held = TaskContext.get().partitionId() << 24, _Tokens()
         for batch in batches:
             train = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, rows in pieces(batch.column(2)):
+            for first, rows in pieces(batch.column(2), PIECE_BYTES):
                 held.add(rows, batch.column(0).slice(first, len(rows)), train[first : first + len(rows)])
                 if held.n >= FLUSH_TOKENS:
                     for row in held.blobs(flush, n):
@@ -206,12 +221,12 @@ def _send(n: int):
 class _Pairs:
     """All pairs of a meeting: number of context and word, and their entries (flush, document, times)."""
 
-    def __init__(self, blobs: list[tuple[int, bytes]]):
+    def __init__(self, blobs: list[tuple[int, pa.BinaryScalar]]):
         self.flushes = sorted({f for f, _ in blobs})
         number = {f: k for k, f in enumerate(self.flushes)}
         words, contexts, per_word, context, n_docs, doc, times, flush = ([] for _ in range(8))
         for f, blob in blobs:
-            w, pw, c, ci, nd, dc, tm = unpack(blob)
+            w, pw, c, ci, nd, dc, tm = unpack(blob.as_py())
             words.append(_unsorted(w))
             contexts.append(_unsorted(c))
             per_word.append(pw)
@@ -224,19 +239,23 @@ class _Pairs:
         self.contexts, at_c = np.unique(np.concatenate(contexts), return_inverse=True)
         w_from = np.cumsum([0, *map(len, words)])
         c_from = np.cumsum([0, *map(len, contexts)])
-        word = np.concatenate([np.repeat(at_w[a : a + len(p)], p) for a, p in zip(w_from, per_word)])
-        ctx = np.concatenate([at_c[a : a + len(cs)][ci] for a, cs, ci in zip(c_from, contexts, context)])
+        key = np.concatenate([at_c[a : a + len(cs)][ci] for a, cs, ci in zip(c_from, contexts, context)]) * np.int64(len(self.words))
+        key += np.concatenate([np.repeat(at_w[a : a + len(p)], p) for a, p in zip(w_from, per_word)])
+        del words, contexts, per_word, context, at_w, at_c
         n_docs = np.concatenate([x.astype(np.int64) for x in n_docs])
-        self.doc, self.times, self.flush = np.concatenate([x.astype(np.uint32) for x in doc]), np.concatenate([x.astype(np.uint32) for x in times]), np.concatenate(flush)
         start = np.cumsum(n_docs) - n_docs
-        key = ctx * np.int64(len(self.words)) + word
-        del ctx, word
         order = np.argsort(key, kind="stable")
-        key = key[order]
+        key, n_docs = key[order], n_docs[order]
+        entry = _spread(start[order], n_docs)
+        del order, start
+        self.doc = np.concatenate([x.astype(np.uint32) for x in doc])[entry]
+        del doc
+        self.times = np.concatenate([x.astype(np.uint32) for x in times])[entry]
+        del times
+        self.flush = np.concatenate(flush)[entry]
+        del flush, entry
         at = groups(key)
-        entry = _spread(start[order], n_docs[order])
-        self.doc, self.times, self.flush = self.doc[entry], self.times[entry], self.flush[entry]
-        self.n_docs = np.add.reduceat(n_docs[order], at)
+        self.n_docs = np.add.reduceat(n_docs, at)
         self.context, self.word = np.divmod(key[at], len(self.words))
         first = np.cumsum(self.n_docs) - self.n_docs
         self.count = np.add.reduceat(self.times.astype(np.int64) * (self.doc & 1), first)
@@ -269,15 +288,14 @@ def upward(pairs: _Pairs, n: int, d: float, theta: float, burn: int, keep: int,
 
 def _by_word(n: int, d: float, theta: float, burn: int, keep: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(k).to_pylist() for k in ("bucket", "kind", "flush", "blob"))))
-        out = [r for r in rows if r[1] == DOCS]
-        blobs = [r[2:] for r in rows if r[1] == ENTRIES]
-        if not blobs:
+        give_back_memory()
+        mine = table.column("bucket")[0].as_py()
+        kinds, flushes = table.column("kind").to_pylist(), table.column("flush").to_pylist()
+        out = [(mine, DOCS, f, x.as_py()) for k, f, x in zip(kinds, flushes, table.column("blob")) if k == DOCS]
+        if ENTRIES not in kinds:
             return _batch(out)
-        mine = rows[0][0]
-        del rows, table
-        pairs = _Pairs(blobs)
-        del blobs
+        pairs = _Pairs([(f, x) for k, f, x in zip(kinds, flushes, table.column("blob")) if k == ENTRIES])
+        del table
         count = np.bincount(pairs.word, weights=pairs.count, minlength=len(pairs.words))
         customers, tables = upward(pairs, n, d, theta, burn, keep, np.random.default_rng((seed, mine)))
         known = count > 0
@@ -332,27 +350,29 @@ def _by_context(totals: np.ndarray, d: float, theta: float, burn: int, keep: int
     _, n_words, customers, tables = totals
 
     def run(table: pa.Table) -> pa.Table:
+        give_back_memory()
         mine = table.column("bucket")[0].as_py()
         cols = [[] for _ in range(8)]
-        bases: list = [[], [], []]
         numbers: dict = {}
-        for blob in table.column("blob").to_pylist():
-            ctx, per, count, infos, local, n_docs, flushes, flush, doc, times = unpack(blob)
+        for blob in table.column("blob"):
+            ctx, per, count, infos, local, n_docs, flushes, flush, doc, times = unpack(blob.as_py())
             of = np.array([numbers.setdefault(int(f), len(numbers)) for f in flushes], dtype=np.uint32)
             info = infos[local]
             for c, x in zip(cols, (np.repeat(_unsorted(ctx), per), count.astype(np.int64), info[:, 0], info[:, 1], info[:, 2], n_docs.astype(np.int64), (of[flush].astype(np.int64) << 32) | doc, times.astype(np.uint32))):
                 c.append(x)
-        del table, bases
+        del table
         ctx, count, c_word, customers_of, tables_of, n_docs, at, times = (np.concatenate(c) for c in cols)
         del cols
         contexts, ctx = np.unique(ctx, return_inverse=True)
         parent = (customers_of - d * tables_of + (theta + d * tables) / (n_words + 1)) / (theta + customers)
         p = downward(ctx, len(contexts), count, parent, d, theta, burn, keep, np.random.default_rng((seed, 1, mine)))
-        values = [np.repeat(x, n_docs) * times for x in (np.rint(np.log10(c_word + 0.1) * FIXED), np.rint(np.log10(p) * FIXED), c_word > 0)]
+        del ctx, contexts, count, parent
         order = np.argsort(at, kind="stable")
-        at = at[order]
+        at, times = at[order], times[order]
         first = groups(at)
-        base, score, known = (np.add.reduceat(x[order], first) for x in values)
+        pair = np.repeat(np.arange(len(p), dtype=np.uint32), n_docs)[order]
+        del order
+        base, score, known = (np.add.reduceat(x[pair] * times, first) for x in (np.rint(np.log10(c_word + 0.1) * FIXED), np.rint(np.log10(p) * FIXED), (c_word > 0).astype(np.int64)))
         at = at[first]
         edges = np.searchsorted(at >> 32, np.arange(len(numbers) + 1))
         out = []
@@ -393,7 +413,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows whose crc32 of the id as text is 0 modulo `folds` are held out of training.
     """
     spark = docs.sparkSession
-    n = n_partitions(spark)
+    n = 2 * n_partitions(spark)  # groups of a partition are worked on one after the other
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds != 0).alias("train"), F.col(text_col).alias("_text"))
     met = rows.mapInArrow(_send(n), ROW).groupBy("bucket").applyInArrow(_by_word(n, discount, strength, burn, keep, seed), ROW)
