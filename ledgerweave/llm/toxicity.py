@@ -56,7 +56,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.bias + sums + (earlier @ self.chain if len(self.chain) else 0), -30, 30)))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, earlier: np.ndarray, n_features: int = 4096, least_z: float = 4.0, penalty: float = 2.0, steps: int = 200) -> Linear:
+def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, earlier: np.ndarray, n_features: int = 4096, least_z: float = 4.0, penalty: float = 0.5, steps: int = 300) -> Linear:
     """Logistic regression on the features (distinct per row) that tell the classes apart best.
 
     Only features whose rates in the two classes differ by least_z standard errors count.
