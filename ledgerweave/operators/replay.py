@@ -18,6 +18,7 @@ from ledgerweave.functions.encoding import fingerprint, request_json
 from ledgerweave.functions.validation import shape_error
 from ledgerweave.operators.numbering import assign_lsn
 from ledgerweave.plans.schema import MAX_INT64
+from ledgerweave.sources.scratch import scratch_path
 
 FOLD = "seq bigint, key string, kind string, error_code string, replayed boolean, logged boolean, commit_seq bigint, status string, settled_amount bigint, amount bigint, from_account string, to_account string, hold_id string, from_balance bigint, from_reserved bigint, to_balance bigint, to_reserved bigint, currency string"
 _COLUMNS = [c.split()[0] for c in FOLD.split(", ")]
@@ -216,7 +217,10 @@ def replay(ops: DataFrame, lease: int, accounts: DataFrame | None = None, holds:
 
 
 def with_lsn(outcomes: DataFrame, base_lsn: int = 0) -> DataFrame:
-    """outcomes with wal_lsn and commit_lsn instead of logged and commit_seq."""
+    """outcomes with wal_lsn and commit_lsn instead of logged and commit_seq; written to the shared folder, so that the fold runs once."""
+    path = scratch_path(outcomes.sparkSession, "outcomes")
+    outcomes.write.parquet(path)
+    outcomes = outcomes.sparkSession.read.schema(outcomes.schema).parquet(path)
     logged = assign_lsn(outcomes.where("logged").select("seq")).select("seq", (F.col("lsn") + base_lsn).alias("wal_lsn"))
     out = outcomes.join(logged, "seq", "left")
     origin = logged.toDF("commit_seq", "_commit")

@@ -279,6 +279,11 @@ def _images(spark, sf_dir):
     return a, run.select("id", "currency", (F.col("opening") + F.col("delta")).alias("balance"), F.lit(0).cast("bigint").alias("reserved"), "lsn")
 
 
+def log_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account post-images of the committed payments' log."""
+    return _images(spark, sf_dir)[1]
+
+
 IMAGES = f"{LOG}, e as (select from_account as id, lsn, -amount as delta from log union all select to_account, lsn, amount from log), images as (select e.id, currency, cast(opening + sum(delta) over (partition by e.id order by lsn rows unbounded preceding) as bigint) as balance, cast(0 as bigint) as reserved, lsn from e join a on a.id = e.id)"
 
 
