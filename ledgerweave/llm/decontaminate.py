@@ -176,21 +176,37 @@ class Shard:
         return out
 
 
+def _found(shards: list[Shard], texts: pa.Array, threshold: float, least: float, least_part: float) -> list[tuple]:
+    """(row, item id, score, overlaps) of every text and item that it holds."""
+    out = []
+    for first_row, rows in pieces(texts):
+        h, first = terms_of(rows)
+        for shard in shards:
+            best: dict = {}
+            for t, begin, end, item, score in shard.hits(h, first, threshold):
+                lo, hi = max(first[t], begin - shard.stride), min(first[t + 1], end + shard.stride)
+                whole, q, a = shard.overlaps(h[lo:hi], item)
+                if whole >= least and q >= least_part and a >= least_part:
+                    best[t, item] = max(best.get((t, item), (0,)), (score, whole, q, a))
+            out += [(first_row + t, shard.ids[i], *v) for (t, i), v in best.items()]
+    return out
+
+
+def _without_hits(shards: list[Shard], text_col: str, *limits: float):
+    def run(batches):
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            clean[[x[0] for x in _found(shards, batch.column(batch.schema.get_field_index(text_col)), *limits)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
 def _search(shards: list[Shard], threshold: float, least: float, least_part: float):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            out = []
-            for first_row, rows in pieces(batch.column(1)):
-                h, first = terms_of(rows)
-                for shard in shards:
-                    best: dict = {}
-                    for t, begin, end, item, score in shard.hits(h, first, threshold):
-                        lo, hi = max(first[t], begin - shard.stride), min(first[t + 1], end + shard.stride)
-                        whole, q, a = shard.overlaps(h[lo:hi], item)
-                        if whole >= least and q >= least_part and a >= least_part:
-                            best[t, item] = max(best.get((t, item), (0,)), (score, whole, q, a))
-                    out += [(first_row + t, shard.ids[i], *v) for (t, i), v in best.items()]
+            out = _found(shards, batch.column(1), threshold, least, least_part)
             yield pa.record_batch(
                 [ids.take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.int64()), *(pa.array([x[k] for x in out], pa.float64()) for k in (2, 3, 4, 5))],
                 names=["_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
@@ -199,6 +215,23 @@ def _search(shards: list[Shard], threshold: float, least: float, least_part: flo
     return run
 
 
+def _shards(group: list) -> list[Shard]:
+    return [Shard(group[k : k + SHARD]) for k in range(0, len(group), SHARD)]
+
+
+def _item_groups(items: DataFrame, item_col: str, item_text_col: str) -> list[list]:
+    """(id, text) of the items that have a term, by length, in groups for one pass each."""
+    known = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").rlike(r"\w")).orderBy(F.length("t"), "i")
+    out, size = [], GROUP_BYTES + 1
+    for r in known.toLocalIterator():
+        if size > GROUP_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append((r.i, r.t))
+        size += len(r.t)
+    return out
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, overlap: float = 0.8, part_overlap: float = 0.5) -> DataFrame:
     """A row per text and item that it holds: the id, item_id, BM25 score and the overlaps.
 
@@ -208,24 +241,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    known = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").rlike(r"\w")).orderBy(F.length("t"), "i")
-    found, group, size = None, [], 0
-
-    def passed(group):
-        shards = [Shard(group[k : k + SHARD]) for k in range(0, len(group), SHARD)]
-        return rows.mapInArrow(_search(shards, threshold, overlap, part_overlap), schema)
-
-    for r in known.toLocalIterator():
-        group.append((r.i, r.t))
-        size += len(r.t)
-        if size > GROUP_BYTES:
-            found, group, size = passed(group) if found is None else found.unionAll(passed(group)), [], 0
-    if group or found is None:
-        found = passed(group) if found is None else found.unionAll(passed(group))
+    found = None
+    for group in _item_groups(items, item_col, item_text_col) or [[]]:
+        part = rows.mapInArrow(_search(_shards(group), threshold, overlap, part_overlap), schema)
+        found = part if found is None else found.unionAll(part)
     return found.withColumnRenamed("_id", id_col)
 
 
-def keep_uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of docs without a hit, all columns kept; rows that share an id share its fate."""
-    bad = contaminated(docs, items, id_col=id_col, **params).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, overlap: float = 0.8, part_overlap: float = 0.5) -> DataFrame:
+    """The rows of docs without a hit, all columns kept, judged row by row: ids may be null or shared."""
+    schema, out = docs.schema, docs
+    for group in _item_groups(items, item_col, item_text_col):
+        out = out.mapInArrow(_without_hits(_shards(group), text_col, threshold, overlap, part_overlap), schema)
+    return out

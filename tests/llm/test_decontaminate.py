@@ -65,3 +65,12 @@ def test_pruning_loses_no_score():
     t, begin, end, item, score = shard.hits(h, first, 0.5)[0]
     present = np.isin(shard.vocab, h[begin:end])
     assert abs(shard.impact[present, item].sum() - score) < 1e-4
+
+
+def test_clean_rows_stay_where_ids_are_null_or_shared(spark):
+    items, docs = sample(4)
+    leak, clean = f"Before it. {items[0][1]} After it.", "nothing of any item is in here"
+    rows = [(None, leak), (None, clean), (None, None), (7, leak), (7, clean), (7, clean), (8, clean)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    kept = d.keep_uncontaminated(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(x.n for x in kept.collect()) == [1, 2, 4, 5, 6]
