@@ -12,7 +12,11 @@ The index is cut into shards of `SHARD` items of like length, so that a passage
 always has room for an item; it is sent to the tasks in groups of at most
 `GROUP_BYTES` of item text, one pass over the documents per group.
 
-Nulls and special cases: null or blank texts and items match nothing; a null id
+Words are runs of characters other than blanks, in any script; only ASCII letters
+are brought to lower case and only ASCII marks are cut off around words.
+
+Nulls and special cases: null or blank texts and items, and items of nothing but
+ASCII marks, match nothing; a null id
 stays null; an item found in several passages of a text gives one row, the best;
 repeated rows give repeated results; empty tables give an empty result.
 """
@@ -221,14 +225,17 @@ def _shards(group: list) -> list[Shard]:
 
 def _item_groups(items: DataFrame, item_col: str, item_text_col: str) -> list[list]:
     """(id, text) of the items that have a term, by length, in groups for one pass each."""
-    known = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").rlike(r"\w")).orderBy(F.length("t"), "i")
+    known = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]")).orderBy(F.length("t"), "i")
     out, size = [], GROUP_BYTES + 1
     for r in known.toLocalIterator():
+        text = r.t.encode()
+        if not len(terms_of([text])[0]):  # nothing but marks
+            continue
         if size > GROUP_BYTES:
             out.append([])
             size = 0
         out[-1].append((r.i, r.t))
-        size += len(r.t)
+        size += len(text)
     return out
 
 

@@ -74,3 +74,13 @@ def test_clean_rows_stay_where_ids_are_null_or_shared(spark):
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
     kept = d.keep_uncontaminated(df, spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(x.n for x in kept.collect()) == [1, 2, 4, 5, 6]
+
+
+def test_items_of_any_script(spark):
+    texts = ["Какая река самая длинная в Европе? Самая длинная река в Европе это Волга.", "ποιος ποταμός είναι ο μεγαλύτερος; ο μεγαλύτερος ποταμός είναι ο Νείλος", "ما هي عاصمة مصر اليوم؟ عاصمة مصر هي مدينة القاهرة", "最 长 的 河 是 哪 条 ？ 最 长 的 河 是 尼 罗 河"]
+    items = [*enumerate(texts), (90, "... !!! ---"), (91, " \n\t"), (92, None)]
+    docs = [(k, f"before it {t} after it") for k, t in enumerate(texts)] + [(9, "... !!! --- and words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((x.doc_id, x.item_id) for x in d.contaminated(df, bench).collect()) == [(k, k) for k in range(len(texts))]
+    assert [x.doc_id for x in d.keep_uncontaminated(df, bench).collect()] == [9]
