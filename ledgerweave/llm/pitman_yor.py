@@ -8,11 +8,14 @@ so Gibbs steps draw those from their full conditionals (generalised Stirling
 numbers times the parent's weights) and predictive probabilities are averaged
 over the draws kept.
 
-Two meetings carry everything, as packed arrays rather than rows:
-
-1. by word: counts, base scores, and an upward sweep that draws the tables of a
-   word in all contexts together with its tables in the shared parent; a
-   context's total, which is spread over all words, enters as an estimate.
+Two meetings carry everything, as packed arrays rather than rows, and between
+them go the upward sweeps:
+
+1. by word: counts.  Then each sweep draws the tables of a word in all contexts
+   together with its tables in the shared parent.  Contexts are spread over all
+   words, so before every sweep their tables are added up across the buckets of
+   words and sent back, as are the parent's; within a sweep all draws are given
+   the totals after the sweep before.
 2. by context: a downward sweep that draws the tables of each context with its
    own totals, given the parent; then every token of every text is scored.
 
@@ -47,7 +50,7 @@ PIECE_BYTES = 1 << 20
 EXACT = 256
 FIXED = float(1 << 32)  # sums of logarithms travel as whole multiples of 2 ** -32
 ROW = "bucket int, kind int, flush long, blob binary"
-ENTRIES, DOCS, SUMS = 0, 1, 2
+ENTRIES, DOCS, SUMS, STATE, USED, SENT, TOTALS, TABLES, INFOS = range(9)
 
 
 def give_back_memory() -> None:
@@ -261,32 +264,115 @@ class _Pairs:
         self.count = np.add.reduceat(self.times.astype(np.int64) * (self.doc & 1), first)
 
 
-def upward(pairs: _Pairs, n: int, d: float, theta: float, burn: int, keep: int, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Mean customers and tables of each word in the parent; n: how many meetings share the contexts."""
+def _state(pairs: _Pairs, mine: int, n: int) -> list[tuple]:
+    """What the sweeps over a word bucket need, and the number of pairs of each context for the contexts' buckets."""
+    n_words = len(pairs.words)
     seen = np.flatnonzero(pairs.count > 0)
     word, context, c = pairs.word[seen], pairs.context[seen], pairs.count[seen]
-    n_words = len(pairs.words)
+    multi = c > 1
+    single = np.bincount(word[~multi], minlength=n_words)
     met = np.bincount(context, minlength=len(pairs.contexts))
-    others = (np.maximum(met - 1, 0) * n)[context]  # tables of a context besides this word's
-    known = max(1, n * len(np.unique(word)))
-    t = np.ones(len(c), dtype=np.int64)
-    multi = np.flatnonzero(c > 1)
-    customers_sum, tables_sum = np.zeros(n_words), np.zeros(n_words)
-    tables = np.minimum(np.bincount(word, minlength=n_words), 1)
-    for k in range(burn + keep):
-        customers = np.bincount(word, weights=t, minlength=n_words).astype(np.int64)
-        tables = draw_tables(customers, np.maximum(n * tables.sum() - tables, 0), np.full(n_words, 1 / (known + 1)), d, theta, rng)
-        back = (theta + d * n * tables.sum()) / (known + 1)
-        rest = customers[word[multi]] - t[multi]  # the pair's own tables leave the parent while they are drawn
-        p = (np.maximum(rest - d * np.minimum(tables[word[multi]], rest), 0) + back) / (theta + n * customers.sum())
-        t[multi] = draw_tables(c[multi], others[multi], p, d, theta, rng)
+    per = np.bincount(context[multi], minlength=len(pairs.contexts))
+    count = np.bincount(word, weights=c, minlength=n_words).astype(np.int64)
+    out = [
+        (mine, STATE, 0, pack(narrow(single), narrow(count), _sorted_planes(pairs.contexts[per > 0]), narrow(per[per > 0]), narrow(word[multi]), narrow(c[multi]))),
+        (mine, SUMS, 0, pack(np.array([count.sum(), (count > 0).sum(), len(seen), (count > 0).sum()], dtype=float))),
+    ]
+    had = met > 0
+    return out + _sent(pairs.contexts[had], met[had], per[had] > 0, mine, n)
+
+
+def _sent(contexts: np.ndarray, values: np.ndarray, asked: np.ndarray, mine: int, n: int) -> list[tuple]:
+    edges = np.searchsorted(_bucket(contexts, n), np.arange(n + 1))
+    parts = [(b, slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges))]
+    return [(int(b), SENT, mine, pack(_sorted_planes(contexts[x]), narrow(values[x]), asked[x])) for b, x in parts]
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """The sum for each context, sent back to the word buckets that asked."""
+    mine = table.column("bucket")[0].as_py()
+    got = [unpack(x) for x in table.column("blob").to_pylist()]
+    _, at = np.unique(np.concatenate([_unsorted(c) for c, *_ in got]), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate([v for _, v, _ in got])).astype(np.int64)[at]
+    parts = np.split(total, np.cumsum([len(v) for _, v, _ in got])[:-1])
+    return _batch([(m, TOTALS, mine, pack(narrow(x[asked]))) for m, x, (*_, asked) in zip(table.column("flush").to_pylist(), parts, got) if asked.any()])
+
+
+def _sweep(k: int, totals: np.ndarray, n: int, d: float, theta: float, burn: int, keep: int, seed: int):
+    """Draws the tables of all pairs of a word bucket and of its words in the parent, given all totals after the sweep before."""
+    known, all_customers, all_tables = totals
+
+    def run(table: pa.Table) -> pa.Table:
+        mine = table.column("bucket")[0].as_py()
+        rows = sorted(zip(table.column("kind").to_pylist(), table.column("flush").to_pylist(), table.column("blob").to_pylist()))
+        of = lambda kind: [unpack(x) for r, _, x in rows if r == kind]
+        single, count, contexts, per, word, c = of(STATE)[0]
+        contexts, word, c = _unsorted(contexts), word.astype(np.int64), c.astype(np.int64)
+        context = np.repeat(np.arange(len(contexts)), per)
+        n_words = len(count)
+        total = np.concatenate([np.empty(0, np.int64), *(x.astype(np.int64) for (x,) in of(TOTALS))])
+        if k:
+            t, tables, base, customers_sum, tables_sum = of(TABLES)[0]
+            total = total + base  # of tables beyond one a pair
+        else:
+            t, tables, base = np.ones(len(c), dtype=np.int64), np.minimum(count, 1).astype(np.int64), total
+            customers_sum, tables_sum = np.zeros(n_words, dtype=np.int64), np.zeros(n_words, dtype=np.int64)
+        rng = np.random.default_rng((seed, mine, k))
+        customers = single + np.bincount(word, weights=t, minlength=n_words).astype(np.int64)
+        tables = draw_tables(customers, np.maximum(int(all_tables) - tables, 0), np.full(n_words, 1 / (known + 1)), d, theta, rng)
+        rest = customers[word] - t  # the pair's own tables leave the parent while they are drawn
+        back = (theta + d * all_tables) / (known + 1)
+        p = (np.maximum(rest - d * np.minimum(tables[word], rest), 0) + back) / (theta + all_customers - t)
+        t = draw_tables(c, total[context] - t, p, d, theta, rng)
         if k >= burn:
-            customers_sum += customers
-            tables_sum += tables
-    return customers_sum / keep, tables_sum / keep
+            customers_sum, tables_sum = customers_sum + customers, tables_sum + tables
+        if k < burn + keep - 1:
+            after = single.sum() + t.sum()
+            out = [(mine, TABLES, 0, pack(t, tables, base, customers_sum, tables_sum)), (mine, SUMS, 0, pack(np.array([after, tables.sum()], dtype=float)))]
+            extra = np.bincount(context, weights=t - 1, minlength=len(contexts)).astype(np.int64)
+            return _batch(out + _sent(contexts, extra, np.ones(len(contexts), dtype=bool), mine, n))
+        out = [(mine, SUMS, 0, pack(np.array([customers_sum.sum() / keep, tables_sum.sum() / keep])))]
+        infos = np.column_stack([count, customers_sum / keep, tables_sum / keep])
+        for r, b, blob in rows:
+            if r == USED:
+                each, at = np.unique(infos[unpack(blob)[0]], axis=0, return_inverse=True)
+                out.append((b, INFOS, mine, pack(each, narrow(at.reshape(-1)))))
+        return _batch(out)
+
+    return run
+
 
+def _sums(df: DataFrame, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    for r in df.where(F.col("kind") == SUMS).select("blob").toLocalIterator():  # a row for each word bucket
+        out += unpack(r.blob)[0]
+    return out
 
-def _by_word(n: int, d: float, theta: float, burn: int, keep: int, seed: int):
+
+def upward(met: DataFrame, n: int, d: float, theta: float, burn: int, keep: int, seed: int) -> tuple[DataFrame, np.ndarray]:
+    """INFOS rows (count, mean customers and mean tables in the parent of the words of each entry) and the global sums.
+
+    Before each sweep every context's tables are added up over all word buckets, and the parent's over all words.
+    """
+    tokens, known, customers, tables = _sums(met, 4)
+    state, last = met.where(F.col("kind") == STATE), met
+    old = []
+    for k in range(burn + keep):
+        rows = state.unionAll(last.where(F.col("kind") == SENT).groupBy("bucket").applyInArrow(_totals, ROW))
+        if k:
+            rows = rows.unionAll(last.where(F.col("kind") == TABLES))
+        if k == burn + keep - 1:
+            rows = rows.unionAll(met.where(F.col("kind") == USED))
+        stored = Stored(rows.groupBy("bucket").applyInArrow(_sweep(k, np.array([known, customers, tables]), n, d, theta, burn, keep, seed), ROW), "tables")
+        last = stored.df
+        customers, tables = _sums(last, 2)
+        for x in old:
+            x.drop()
+        old = [stored]
+    return last.where(F.col("kind") == INFOS), np.array([tokens, known, customers, tables])
+
+
+def _by_word(n: int):
     def run(table: pa.Table) -> pa.Table:
         give_back_memory()
         mine = table.column("bucket")[0].as_py()
@@ -296,12 +382,7 @@ def _by_word(n: int, d: float, theta: float, burn: int, keep: int, seed: int):
             return _batch(out)
         pairs = _Pairs([(f, x) for k, f, x in zip(kinds, flushes, table.column("blob")) if k == ENTRIES])
         del table
-        count = np.bincount(pairs.word, weights=pairs.count, minlength=len(pairs.words))
-        customers, tables = upward(pairs, n, d, theta, burn, keep, np.random.default_rng((seed, mine)))
-        known = count > 0
-        out.append((mine, SUMS, 0, pack(np.array([count.sum(), known.sum(), customers.sum(), tables.sum()]))))
-        infos, info = np.unique(np.column_stack([count, customers, tables]), axis=0, return_inverse=True)
-        info = info.reshape(-1)[pairs.word]
+        out += _state(pairs, mine, n)
         edges = np.searchsorted(pairs.context, np.searchsorted(_bucket(pairs.contexts, n), np.arange(n + 1)))
         ends = np.append(np.cumsum(pairs.n_docs) - pairs.n_docs, len(pairs.doc))
         flushes = np.array(pairs.flushes, dtype=np.int64)
@@ -312,9 +393,10 @@ def _by_word(n: int, d: float, theta: float, burn: int, keep: int, seed: int):
             low = pairs.context[s.start]
             per = np.bincount(pairs.context[s] - low)
             has = np.flatnonzero(per)
-            used, local = np.unique(info[s], return_inverse=True)
+            used, local = np.unique(pairs.word[s], return_inverse=True)
+            out.append((mine, USED, b, pack(narrow(used))))
             out.append((b, ENTRIES, mine, pack(
-                _sorted_planes(pairs.contexts[low + has]), narrow(per[has]), narrow(pairs.count[s]), infos[used], narrow(local), narrow(pairs.n_docs[s]),
+                _sorted_planes(pairs.contexts[low + has]), narrow(per[has]), narrow(pairs.count[s]), narrow(local), narrow(pairs.n_docs[s]),
                 flushes, narrow(pairs.flush[e]), narrow(pairs.doc[e] >> 1), narrow(pairs.times[e]),
             )))
         return _batch(out)
@@ -354,13 +436,16 @@ def _by_context(totals: np.ndarray, d: float, theta: float, burn: int, keep: int
         mine = table.column("bucket")[0].as_py()
         cols = [[] for _ in range(8)]
         numbers: dict = {}
-        for blob in table.column("blob"):
-            ctx, per, count, infos, local, n_docs, flushes, flush, doc, times = unpack(blob.as_py())
+        kinds, froms, blobs = table.column("kind").to_pylist(), table.column("flush").to_pylist(), table.column("blob")
+        infos_of = {m: i for i, (k, m) in enumerate(zip(kinds, froms)) if k == INFOS}
+        for m, i in sorted((m, i) for i, (k, m) in enumerate(zip(kinds, froms)) if k == ENTRIES):
+            ctx, per, count, local, n_docs, flushes, flush, doc, times = unpack(blobs[i].as_py())
+            infos, of_word = unpack(blobs[infos_of[m]].as_py())
             of = np.array([numbers.setdefault(int(f), len(numbers)) for f in flushes], dtype=np.uint32)
-            info = infos[local]
+            info = infos[of_word[local]]
             for c, x in zip(cols, (np.repeat(_unsorted(ctx), per), count.astype(np.int64), info[:, 0], info[:, 1], info[:, 2], n_docs.astype(np.int64), (of[flush].astype(np.int64) << 32) | doc, times.astype(np.uint32))):
                 c.append(x)
-        del table
+        del table, blobs
         ctx, count, c_word, customers_of, tables_of, n_docs, at, times = (np.concatenate(c) for c in cols)
         del cols
         contexts, ctx = np.unique(ctx, return_inverse=True)
@@ -416,15 +501,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = 2 * n_partitions(spark)  # groups of a partition are worked on one after the other
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds != 0).alias("train"), F.col(text_col).alias("_text"))
-    met = rows.mapInArrow(_send(n), ROW).groupBy("bucket").applyInArrow(_by_word(n, discount, strength, burn, keep, seed), ROW)
+    met = rows.mapInArrow(_send(n), ROW).groupBy("bucket").applyInArrow(_by_word(n), ROW)
     met = Stored(met, "word-pairs").df
     for _ in range(2):  # lets Spark drop the shuffle files of the first meeting before the second one writes its own
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    totals = np.zeros(4)
-    for r in met.where(F.col("kind") == SUMS).select("blob").toLocalIterator():  # a row for each shuffle partition
-        totals += unpack(r.blob)[0]
-    parts = met.where(F.col("kind") == ENTRIES).groupBy("bucket").applyInArrow(_by_context(totals, discount, strength, burn, keep, seed), ROW)
+    infos, totals = upward(met, n, discount, strength, burn, keep, seed)
+    parts = met.where(F.col("kind") == ENTRIES).unionAll(infos).groupBy("bucket").applyInArrow(_by_context(totals, discount, strength, burn, keep, seed), ROW)
     out = parts.unionAll(met.where(F.col("kind") == DOCS)).groupBy("flush").applyInArrow(
         _together(totals, kind), f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

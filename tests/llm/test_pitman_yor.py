@@ -97,3 +97,21 @@ def test_numbers_of_tables_follow_seatings():
         assert abs(np.mean(t == k) - np.mean(np.array(seats) == k)) < 0.03
     many = py.draw_tables(np.full(50, 5000), np.full(50, 100), np.full(50, 0.05), d, theta, rng)
     assert (many > 1).all() and (many <= 5000).all()
+
+
+def test_scores_do_not_follow_the_number_of_partitions(spark):
+    df = spark.createDataFrame(sample(4), "doc_id long, text string").repartition(4)
+
+    def scores(partitions, seed):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            rows = sorted((str(x.doc_id), x.n_tokens, x.score) for x in py.score_texts(df, seed=seed).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        return np.array([x[2] for x in rows]) / np.array([x[1] for x in rows])
+
+    two, again, many = scores("2", 5), scores("2", 6), scores("200", 5)
+    noise, apart = np.abs(two - again).mean(), np.abs(two - many).mean()
+    print(noise, apart)
+    assert apart < 3 * noise + 1e-4
