@@ -6,15 +6,17 @@ text is followed by one blank in the joined buffer, so no word spans two texts.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 U64 = np.uint64
 #: Bytes of text handled at once; a single longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -49,22 +51,26 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def give_back_memory() -> None:
+    """Make large arrays return to the system when they are freed: workers are used again by later stages."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # glibc
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES):
     """(first row, list of bytes) for consecutive rows of at most limit bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
-    rows = texts.cast(kind).to_pylist()
-    at, size, first = [], 0, 0
-    for i, x in enumerate(rows):
-        x = x or b""
-        if at and size + len(x) > limit:
-            yield first, at
-            at, size, first = [], 0, i
-        at.append(x)
-        size += len(x) + 1
-    if at:
-        yield first, at
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first, before = 0, 0
+    while first < len(ends):
+        stop = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield first, [x or b"" for x in texts.slice(first, stop - first).cast(kind).to_pylist()]
+        first, before = stop, int(ends[stop - 1])
 
 
 class Words:

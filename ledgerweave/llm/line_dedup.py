@@ -1,20 +1,27 @@
 """Line dedup by a segment-partition edit join, all in DataFrame functions.
 
-Lines within `threshold` edits of each other, and whatever such links connect,
-are one class; of each class the first line (smallest id, then smallest
-position) stays.  Of threshold + 1 segments of the shorter line of a pair, one
-is found whole in the longer line near its own place, so lines meet on a hash
-of (length, number, segment).  Pairs that meet are kept if counts of letters
-allow the distance, and verified on their texts: what lies between the
-common beginning and end goes through a banded bit-parallel automaton, a word
-of 2 * threshold + 1 diagonals per number of edits.
-
-Equal lines meet as one row per task, so copies are never paired.  Lines are
-told apart by a 64-bit hash in the join and by their texts when verified.
-
-Nulls and special cases: null text has no lines, empty text has one; lines
-shorter than `min_chars` stay; a null id ranks after every number; repeated
-rows get equal results; an empty table gives an empty result.
+Two lines are linked if they are equal, or within `threshold` edits of each
+other and at least 0.8 alike (edits at most a fifth of the longer one's
+characters, so lines under 5 characters are linked only to their copies).
+Whatever such links connect is one class; of each class the first line
+(smallest id, then smallest position) stays.
+
+Of threshold + 1 segments of the shorter line of a pair, one is found whole in
+the longer line near its own place, so lines meet on a hash of (length, number,
+segment), each distinct line once.  Where few meet, pairs are kept if counts of
+letters allow the distance.  Where many meet and the threshold is 1, pairs are
+not made: those lines meet again on all but one of 16 segments, then of 256,
+and so on, and those that still crowd together meet on all but one character,
+where one line stands for all.  With a higher threshold a crowd's pairs are
+dealt over tasks in tiles.  Every pair is verified on its texts: what lies
+between the common beginning and end goes through a banded bit-parallel
+automaton, a word of 2 * threshold + 1 diagonals per number of edits.
+
+Copies are told apart by 128 bits of their SHA-256.
+
+Nulls and special cases: null text has no lines; a line without a word stays,
+as it parts paragraphs; a null id ranks after every number; repeated rows get
+equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +32,22 @@ from ledgerweave.llm._components import components
 from ledgerweave.llm._store import Stored
 
 NO_ID = 2**63 - 1
+BLANKS = " \t\n\x0b\f\r"
 #: Letters whose counts modulo 8 are compared before texts are; an edit changes two of them at most.
 LETTERS = "etaoin"
-COUNTS = (1 << 3 * len(LETTERS)) - 1
-#: Lines to verify whose ids (8 bytes each) may be sent to every task; more are joined by a shuffle.
-MOST_SENT = 1_000_000
+#: Rows (at most 50 bytes each) that may be sent to every task; more are joined by a shuffle.
+MOST_SENT = 500_000
+#: Lines that meet on one segment and are paired; more meet again on longer parts.
+PAIRED = 16
+#: Rows of a crowd's tile where the threshold is above 1.
+TILE = 1024
+#: Classes with more lines than this, and more than this share of all lines, are joined without a shuffle: there are at most 4096.
+HOT_LINES, HOT_SHARE = 4096, 4096
+INDEX, PROBE, SHORTER = 0, 1, 2
+
+
+def _print(text: Column) -> Column:
+    return F.unhex(F.left(F.sha2(text, 256), F.lit(32)))
 
 
 def _start(i: int, t: int, length: str) -> str:
@@ -40,24 +58,29 @@ def _size(i: int, t: int, length: str) -> str:
     return f"({length} div {t + 1} + if({i} >= {t + 1} - {length} % {t + 1}, 1, 0))"
 
 
-def _keys(threshold: int) -> Column:
-    """Structs (h, m), null where a probe doesn't fit: m has the counts, above them 1 for a probe and 2 more for a probe of shorter lines."""
-    t, out = threshold, []
+def _keys(t: int) -> list[tuple[int, str]]:
+    """(INDEX, PROBE or SHORTER, SQL of a hash over line and its length n, null where it doesn't fit).
 
-    def key(i: int, length: str, shift: int, flag: int) -> str:
+    An INDEX key also probes for lines of its own length; PROBE is for those at another place, SHORTER for shorter lines.
+    """
+    out = []
+
+    def key(i: int, less: int, shift: int, flag: int) -> None:
+        length = f"(n - {less})" if less else "n"
         at = f"({_start(i, t, length)} + {shift})"
         size = _size(i, t, length)
-        fits = f"{at} >= 1 and {at} + {size} - 1 <= n" if flag else "true"
-        return f"if({fits}, named_struct('h', xxhash64({i}, {length}, substring(line, {at}, {size})), 'm', counts + {flag * (COUNTS + 1)}), null)"
+        fits = f"n >= {5 * max(1, less)} and {at} >= 1 and {at} + {size} - 1 <= n" if flag else "n >= 4"
+        out.append((flag, f"if({fits}, xxhash64({i}, {length}, substring(line, {at}, {size})), null)"))
 
     for i in range(t + 1):
-        out.append(key(i, "n", 0, 0))
+        key(i, 0, 0, INDEX)
     for less in range(t + 1):
         for i in range(t + 1):
             # either the left or the right part has few edits, which bounds how far a segment has moved
             for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
-                out.append(key(i, f"(n - {less})", shift, 3 if less else 1))
-    return F.expr(f"array({', '.join(out)})")
+                if less or shift:
+                    key(i, less, shift, SHORTER if less else PROBE)
+    return out
 
 
 def _bits(parts: list[str]) -> str:
@@ -65,7 +88,7 @@ def _bits(parts: list[str]) -> str:
 
 
 def within(a: str, b: str, threshold: int) -> str:
-    """SQL for: strings a and b, a not the longer, are within threshold edits."""
+    """SQL for: strings a and b, a not the longer, are within threshold edits and a fifth of b's characters."""
     t, mask = threshold, (1 << 2 * threshold + 1) - 1
     lengths = "sequence(20, 0, -1)"
     head = f"aggregate({lengths}, 0, (p, k) -> if(p + shiftleft(1, k) <= length({a}) and substring({a}, p + 1, shiftleft(1, k)) = substring({b}, p + 1, shiftleft(1, k)), p + shiftleft(1, k), p))"
@@ -80,13 +103,15 @@ def within(a: str, b: str, threshold: int) -> str:
     core = f"transform(transform({rest}, v -> named_struct('v', v, 'q', {tail.format(a='v.x', b='v.y')})), u -> named_struct('x', left(u.v.x, length(u.v.x) - u.q), 'y', left(u.v.y, length(u.v.y) - u.q)))"
     steps = f"transform(if(length(w.y) = 0, cast(array() as array<int>), sequence(0, length(w.y) - 1)), i -> {same})"
     final = f"aggregate({steps}, array({first}), (s, m) -> array({', '.join(new)}))"
-    return f"exists({core}, w -> abs(length(w.y) - length(w.x)) <= {t} and shiftright({final}[{t}], length(w.x) - length(w.y) + {t}) & 1 = 1)"
+    return f"exists({core}, w -> abs(length(w.y) - length(w.x)) <= {t} and shiftright({final}[least({t}, length({b}) div 5)], length(w.x) - length(w.y) + {t}) & 1 = 1)"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank"), F.xxhash64(F.col(text_col)).alias("print"), F.split(text_col, "\n").alias("_lines"))
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rank and print of the document, pos and text of each line with a word, and its id and length n."""
+    text = F.col(text_col)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank"), _print(text).alias("print"), F.split(text, "\n").alias("_lines"))
     rows = rows.select("rank", "print", F.posexplode("_lines").alias("pos", "line"))
-    return rows.where(F.length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
+    return rows.where(F.ltrim("line", F.lit(BLANKS)) != "").withColumn("id", _print(F.col("line"))).withColumn("n", F.length("line"))
 
 
 def _allowed(threshold: int) -> str:
@@ -99,55 +124,134 @@ def _allowed(threshold: int) -> str:
     return f"{changes} and abs({' + '.join(differ)}) <= {threshold}" if threshold < 4 else changes  # modulo 8, larger changes have no sign
 
 
-def line_links(lines: DataFrame, threshold: int) -> DataFrame:
-    """Edges (a, b) between ids of different lines(id, line) within the threshold: every such pair once."""
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
+def _meetings(keyed: DataFrame) -> DataFrame:
+    """The rows (id, flag, h) that meet on h a line they may be linked to, with c, the number that meet there."""
+    busy = keyed.groupBy("h").agg(F.count("*").alias("c"), F.count_if(F.col("flag") == INDEX).alias("i")).where("c > 1 and i > 0").drop("i")
+    return Stored(keyed.join(_sent(Stored(busy, "line-busy").df), "h"), "line-meetings").df
+
+
+def _pairs(met: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a not the longer, of met rows (h, id, flag, m) that letter counts allow; of a tile only, where tiles are told."""
+    on = ["h", "tile"] if "tile" in met.columns else ["h"]
+    b_rows = met
+    if "tile" in met.columns:
+        b_rows = met.withColumn("tile", F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / TILE).cast("int"))))
+    a = met.where(F.col("flag") == INDEX).select(*on, F.col("id").alias("a"), F.col("m").alias("ma"))
+    b = b_rows.select(*on, F.col("id").alias("b"), F.col("m").alias("mb"), "flag")
+    near = F.expr(_allowed(threshold)) & (F.col("a") != F.col("b")) & ((F.col("flag") == SHORTER) | (F.col("a") < F.col("b")) | (F.col("flag") == PROBE))
+    return a.join(b, on).where(near).select("a", "b")
+
+
+def _all_but(parts: int) -> str:
+    """SQL of an array of (flag, h): hashes of line without one of its `parts` segments, and as if it were one shorter with one more in it."""
+
+    def hashes(length: str, flag: int) -> str:
+        k = f"least({parts}, {length})"
+        start = f"j * ({length} div {k}) + greatest(0, j - ({k} - {length} % {k}))"
+        size = f"({length} div {k} + if(j >= {k} - {length} % {k}, 1, 0))"
+        return f"transform(sequence(0, {k} - 1), j -> named_struct('flag', {flag}, 'h', xxhash64({length}, j, left(line, {start}), right(line, {length} - ({start}) - {size}))))"
+
+    return f"concat({hashes('n', INDEX)}, {hashes('(n - 1)', SHORTER)})"
+
+
+#: SQL of an array of (flag, h): the whole line and the line without each character, which meet across lengths, and (flag PROBE) without each character by its place.
+BUT_ONE = """concat(array(named_struct('flag', 0, 'h', xxhash64('whole', line))),
+  transform(sequence(1, n), j -> named_struct('flag', 2, 'h', xxhash64('whole', concat(left(line, j - 1), right(line, n - j))))),
+  transform(sequence(1, n), j -> named_struct('flag', 1, 'h', xxhash64(n, j, left(line, j - 1), right(line, n - j)))))"""
+
+
+def _crowd_pairs(crowd: DataFrame, longest: int) -> list[DataFrame]:
+    """Pairs (a, b) for a threshold of 1 among lines (id, line, n, m) that crowd on some segment; not all, but enough to connect what is linked."""
+    out, parts = [], 16
+    while parts < longest:
+        met = _meetings(crowd.select("id", F.expr(f"inline({_all_but(parts)})"))).join(crowd.select("id", "m"), "id")
+        out.append(_pairs(met.where(F.col("c") <= PAIRED), 1))
+        ids = Stored(met.where(F.col("c") > PAIRED).select("id").distinct(), "line-crowd").df
+        crowd = Stored(crowd.join(_sent(ids), "id", "left_semi"), "line-crowd").df
+        longest = crowd.agg(F.max("n")).first()[0] or 0
+        parts *= 16
+    if longest:
+        keyed = crowd.select("id", F.expr(f"inline({BUT_ONE})")).distinct()
+        # one line may stand for all that are equal but for one character at one place, or that have one character more
+        center = keyed.groupBy("h").agg(F.coalesce(F.max(F.when(F.col("flag") == INDEX, F.col("id"))), F.min(F.when(F.col("flag") == PROBE, F.col("id")))).alias("a"), F.count("*").alias("c"))
+        out.append(keyed.join(center.where("c > 1 and a is not null"), "h").where("a != id").select("a", F.col("id").alias("b")))
+    return out
+
+
+def line_links(distinct: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """Edges (a, b) between ids that connect what is linked; distinct(id, n, k0, k1, ...) has each line once, lines(id, n, line) its text at least once."""
+    flags = [f for f, _ in _keys(threshold)]
+    keyed = distinct.select("id", F.expr(f"inline(array({', '.join(f'named_struct(\'flag\', {f}, \'h\', k{k})' for k, f in enumerate(flags))}))")).where("h is not null")
+    met = _meetings(keyed)
     counts = _bits([f"shiftleft((octet_length(line) - octet_length(replace(line, '{c}', ''))) & 7, {3 * k})" for k, c in enumerate(LETTERS)])
-    rows = lines.select("id", "line", F.length("line").alias("n"), F.expr(counts).alias("counts"))
-    keys = rows.select("id", F.explode(_keys(threshold)).alias("x")).where("x is not null").select("id", "x.h", "x.m")
-    keys = Stored(keys.distinct(), "line-keys").df  # both sides of the join read it
-    probe = COUNTS + 1
-    a = keys.where(F.col("m") < probe).select("h", F.col("id").alias("a"), F.col("m").alias("ma"))
-    b = keys.where(F.col("m") >= probe).select("h", F.col("id").alias("b"), F.col("m").alias("mb"))
-    near = F.expr(_allowed(threshold)) & (F.col("a") != F.col("b")) & ((F.col("mb") >= 2 * probe) | (F.col("a") < F.col("b")))
-    pairs = Stored(a.join(b, (a["h"] == b["h"]) & near).select("a", "b").distinct(), "line-pairs").df
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if ids.count() <= MOST_SENT:
-        ids = F.broadcast(ids)
-    texts = lines.select("id", "line").join(ids, "id", "left_semi").distinct()
-    texts = Stored(texts, "line-texts").df
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    ids = Stored(met.select("id").distinct(), "line-ids").df
+    texts = Stored(lines.select("id", "n", "line").join(_sent(ids), "id", "left_semi").dropDuplicates(["id"]).withColumn("m", F.expr(counts)), "line-texts").df
+    met = Stored(met.join(texts.select("id", "m"), "id"), "line-met").df
+    parts = [_pairs(met.where(F.col("c") <= PAIRED), threshold)]
+    crowds = met.where(F.col("c") > PAIRED)
+    if threshold == 1:
+        ids = Stored(crowds.select("id").distinct(), "line-crowd").df
+        crowd = Stored(texts.join(_sent(ids), "id", "left_semi"), "line-crowd").df
+        parts += _crowd_pairs(crowd, crowd.agg(F.max("n")).first()[0] or 0)
+    else:
+        parts.append(_pairs(crowds.withColumn("tile", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / TILE) + 1).cast("int")), threshold))
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionAll(p)
+    pairs = Stored(pairs.distinct(), "line-pairs").df
+    texts = texts.select("id", "line", "n")
+    both = pairs.join(texts.toDF("a", "xa", "na"), "a").join(texts.toDF("b", "xb", "nb"), "b")
+    both = both.select("a", "b", F.expr("if(na <= nb, xa, xb)").alias("x"), F.expr("if(na <= nb, xb, xa)").alias("y"))
     return both.where(F.expr(within("x", "y", threshold))).select("a", "b")
 
 
-def removals(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_chars: int) -> DataFrame:
+def removals(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
     """rank, print, gone (positions of lines that go) and kept_in (ids of the documents in which their classes stay)."""
-    lines = _lines(docs, id_col, text_col, min_chars)
-    roots = components(line_links(lines, threshold)).toDF("id", "root")
-    at = lines.select("id", F.struct("rank", "print", "pos").alias("at"))
-    at = at.join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "at")
-    kept = at.groupBy("root").agg(F.min("at").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = at.join(kept, "root").where("at != kept").select("at.rank", "at.print", "at.pos", F.when(F.col("kept.rank") != NO_ID, F.col("kept.rank")).alias("in"))
+    lines = _lines(docs, id_col, text_col)
+    keys = [F.expr(e).alias(f"k{k}") for k, (_, e) in enumerate(_keys(threshold))]
+    at = Stored(lines.select("rank", "print", "pos", "id", "n", *keys), "line-places").df
+    first = at.groupBy("id").agg(F.min(F.struct("rank", "print", "pos")).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), *(F.max(f"k{k}").alias(f"k{k}") for k in range(len(keys))))
+    first = Stored(first, "line-classes").df
+    roots = Stored(components(line_links(first, lines, threshold)).toDF("id", "root"), "line-roots").df
+    member = Stored(roots.unionAll(roots.select(F.col("root").alias("id"), "root").distinct()), "line-members").df
+    linked = Stored(first.select("id", "first", "copies").join(_sent(member), "id"), "line-linked").df
+    classes = Stored(linked.groupBy("root").agg(F.min("first").alias("kept")), "line-first").df
+    told = linked.join(_sent(classes), "root").select("id", "kept", "copies")
+    alone = first.where("copies > 1").select("id", F.col("first").alias("kept"), "copies").join(_sent(member.select("id")), "id", "left_anti")
+    kept = Stored(told.unionAll(alone), "line-kept").df
+    hot = max(HOT_LINES, at.count() // HOT_SHARE)
+    at = at.select("rank", "print", "pos", "id")
+    hot_ids = F.broadcast(kept.where(F.col("copies") > hot).drop("copies"))  # at most HOT_SHARE rows
+    common = at.join(hot_ids, "id")
+    rest = at.join(hot_ids.select("id"), "id", "left_anti").join(kept.where(F.col("copies") <= hot).drop("copies"), "id")
+    gone = common.unionAll(rest).where("struct(rank, print, pos) != kept")
+    gone = gone.select("rank", "print", "pos", F.when(F.col("kept.rank") != NO_ID, F.col("kept.rank")).alias("in"))
     return gone.groupBy("rank", "print").agg(F.collect_set("pos").alias("gone"), F.sort_array(F.collect_set("in")).alias("kept_in"))
 
 
-def _kept(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_chars: int) -> DataFrame:
-    """The rows of docs as struct `_row`, with `_lines`, `gone`, `kept_in` and the text that is left in `_kept`."""
-    gone = removals(docs, id_col, text_col, threshold, min_chars)
-    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank"), F.xxhash64(F.col(text_col)).alias("print"))
-    out = rows.join(gone, ["rank", "print"], "left").withColumn("_lines", F.split(f"_row.{text_col}", "\n"))
+def _kept(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+    """The rows of docs as struct `_row`, with `gone`, `kept_in` and the text that is left in `_kept`."""
+    gone = removals(docs, id_col, text_col, threshold)
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank"), _print(F.col(text_col)).alias("print"))
+    out = rows.join(gone, ["rank", "print"], "left").withColumn("_lines", F.when(F.col("gone").isNotNull(), F.split(f"_row.`{text_col}`", "\n")))
     # sorted by position, a mark of a line that goes stands right before that line
     marks = "sort_array(concat(transform(_lines, (x, i) -> named_struct('p', i, 'line', true, 'x', x)), transform(gone, g -> named_struct('p', g, 'line', false, 'x', cast(null as string)))))"
     out = out.withColumn("_marked", F.when(F.col("gone").isNotNull(), F.expr(marks)))
-    left = F.expr("coalesce(transform(filter(_marked, (m, i) -> m.line and (i = 0 or _marked[i - 1].line)), m -> m.x), _lines)")
-    return out.withColumn("_kept", F.array_join(left, "\n"))
+    left = F.expr("transform(filter(_marked, (m, i) -> m.line and (i = 0 or _marked[i - 1].line)), m -> m.x)")
+    return out.withColumn("_kept", F.when(F.col("gone").isNull(), F.col(f"_row.`{text_col}`")).otherwise(F.array_join(left, "\n")))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, min_chars: int = 32) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1) -> DataFrame:
     """The id, n_lines, n_removed, kept_sha256, kept_in and, as `kept_text`, the lines that stay."""
-    out = _kept(docs, id_col, text_col, threshold, min_chars)
+    out = _kept(docs, id_col, text_col, threshold)
+    text = F.col(f"_row.`{text_col}`")
     return out.select(
-        F.col(f"_row.{id_col}").alias(id_col),
-        F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
+        F.col(f"_row.`{id_col}`").alias(id_col),
+        F.when(text.isNull(), F.lit(0)).otherwise(1 + F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"),
         F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"),
         F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"),
@@ -155,9 +259,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, min_chars: int = 32, chars_col: str = "n_chars") -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, chars_col: str = "n_chars") -> DataFrame:
     """docs, all rows and columns, with the text cut to the lines that stay (null stays null) and its length renewed where there is one."""
-    out = _kept(docs, id_col, text_col, threshold, min_chars)
+    out = _kept(docs, id_col, text_col, threshold)
     cols = []
     for f in docs.schema.fields:
         if f.name == text_col:

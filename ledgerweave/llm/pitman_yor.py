@@ -33,7 +33,6 @@ training texts every token is unknown; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import ctypes
 import gc
 
 import numpy as np
@@ -41,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerweave.llm._store import Stored, n_partitions
-from ledgerweave.llm._words import U64, Words, groups, narrow, pack, pieces, planes, unpack, unplanes
+from ledgerweave.llm._words import U64, Words, give_back_memory, groups, narrow, pack, pieces, planes, unpack, unplanes
 
 END, START = U64(0x0E4D), U64(0x57A7)
 #: Tokens of a task that are sorted and sent together.
@@ -53,15 +52,6 @@ ROW = "bucket int, kind int, flush long, blob binary"
 ENTRIES, DOCS, SUMS, STATE, USED, SENT, TOTALS, TABLES, INFOS = range(9)
 
 
-def give_back_memory() -> None:
-    """Make large arrays return to the system when they are freed: workers are used again by later stages."""
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "mallopt"):  # glibc
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.malloc_trim(0)
-    pa.default_memory_pool().release_unused()
-
-
 def _sorted_planes(x: np.ndarray) -> np.ndarray:
     return planes(np.diff(x, prepend=U64(0)), 8)
 

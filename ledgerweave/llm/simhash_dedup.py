@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerweave.llm._components import components, local_roots
 from ledgerweave.llm._store import Stored, n_partitions
-from ledgerweave.llm._words import U64, Words, groups, pieces
+from ledgerweave.llm._words import U64, Words, give_back_memory, groups, pieces
 
 NO_ID = 2**63 - 1
 TILE = 8192
@@ -62,6 +62,7 @@ def fingerprint_rows(rows: list[bytes], shingle: int = 3, seed: int = 42) -> np.
 
 def _fingerprints(shingle: int, seed: int):
     def run(batches):
+        give_back_memory()
         for batch in batches:
             fps = [fingerprint_rows(rows, shingle, seed) for _, rows in pieces(batch.column(batch.num_columns - 1))]
             fps = np.concatenate(fps) if fps else np.empty(0, np.uint64)
@@ -110,6 +111,7 @@ def tile_links(fp: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, add, b
 
 def _links(radius: int):
     def run(batches):
+        give_back_memory()
         cols = [[], [], [], []]
         for batch in batches:
             for c, k in zip(cols, range(4)):

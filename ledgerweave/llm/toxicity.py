@@ -6,7 +6,8 @@ those come from models that had not seen the row (out of fold); for scoring,
 from the models fitted on all training rows.
 
 Training takes at most `max_train` labelled rows, those with the smallest
-hashes of their ids; everything else reads all rows.
+hashes of their ids (of rows that share an id, the smallest text); everything
+else reads all rows.
 
 Nulls and special cases: null text has no features; a row whose label is null
 trains no model of that category; a null id is scored like any other; repeated
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerweave.llm._words import U64, Words, pack, pieces, unpack
+from ledgerweave.llm._words import U64, Words, give_back_memory, pack, pieces, unpack
 
 BITS = 22
 PREFIXES = (4, 5, 6)
@@ -125,6 +126,7 @@ class Chain:
 
 
 def _sample_rows(batches):
+    give_back_memory()
     for batch in batches:
         blobs = []
         for _, rows in pieces(batch.column(0)):
@@ -140,9 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str = "d
     names = list(categories)
     known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), *(F.expr(e).cast("int").alias(f"c{k}") for k, e in enumerate(categories.values())))
     chosen = known.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").drop("_id")  # at most max_train rows
+    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most max_train rows are sent
+    joined = joined.groupBy("_id", *(f"c{k}" for k in range(len(names)))).agg(F.min("_text").alias("_text")).select("_text", *(f"c{k}" for k in range(len(names))))
     schema = ", ".join(f"c{k} int" for k in range(len(names))) + ", blob binary"
-    got = joined.mapInArrow(_sample_rows, schema).limit(2 * max_train).toArrow()
+    got = joined.mapInArrow(_sample_rows, schema).toArrow()  # a row for each chosen id
     blobs = got.column("blob").to_pylist()
     # the order of rows from executors varies; that of their contents doesn't
     order = sorted(range(len(blobs)), key=lambda i: blobs[i])
@@ -181,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str = "d
 
 def _scores(chain: Chain):
     def run(batches):
+        give_back_memory()
         for batch in batches:
             out = [chain.predict(len(rows), *features(rows)) for _, rows in pieces(batch.column(batch.num_columns - 1))]
             out = np.concatenate(out) if out else np.zeros((0, len(chain.categories)))
@@ -201,19 +205,20 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, categories: dict | None = None, **params) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic and is_toxic (p_toxic at least the threshold)."""
-    chain = train(docs, labels, categories or CATEGORIES, **params)
-    return score(docs, chain).withColumn("is_toxic", F.col("p_toxic") >= threshold)
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, categories: dict | None = None, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The id, p_low_quality, p_toxic and is_toxic (p_toxic at least the threshold)."""
+    chain = train(docs, labels, categories or CATEGORIES, id_col, text_col, **params)
+    return score(docs, chain, id_col, text_col).withColumn("is_toxic", F.col("p_toxic") >= threshold)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **params) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of docs whose text isn't toxic, all columns kept, judged row by row."""
-    chain = train(docs, labels, CATEGORIES, **params)
+    chain = train(docs, labels, CATEGORIES, id_col, text_col, **params)
 
     def run(batches):
+        give_back_memory()
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
+            text = batch.column(batch.schema.get_field_index(text_col))
             out = [chain.predict(len(rows), *features(rows))[:, -1] for _, rows in pieces(text)]
             yield batch.filter(pa.array((np.concatenate(out) if out else np.zeros(0)) < threshold))
 

@@ -62,7 +62,7 @@ def test_stages(spark, tmp_path):
     assert {i for i in range(0, 300, 6)} <= gone and all(i is not None and (i % 6 == 0 or i >= 300) for i in gone)
 
     before, after = held["line_dedup"]
-    want = test_line_dedup.brute([p for p in pairs(before)], 1, 32)
+    want = test_line_dedup.brute([p for p in pairs(before)], 1)
     import hashlib
 
     assert sorted((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in pairs(after) if i is not None) == sorted((w[0], w[3]) for w in want if w[0] is not None)
