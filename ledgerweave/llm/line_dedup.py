@@ -10,9 +10,9 @@ Of threshold + 1 segments of the shorter line of a pair, one is found whole in
 the longer line near its own place, so lines meet on a hash of (length, number,
 segment), each distinct line once.  Where few meet, pairs are kept if counts of
 letters allow the distance.  Where many meet and the threshold is 1, pairs are
-not made: those lines meet again on all but one of 16 segments, then of 256,
-and so on, and those that still crowd together meet on all but one character,
-where one line stands for all.  With a higher threshold a crowd's pairs are
+not made: those lines meet again on what they share of the rest but for one of
+its three parts, and so on, and those that still crowd together in the end
+differ in one place, where one line stands for all.  With a higher threshold a crowd's pairs are
 dealt over tasks in tiles.  Every pair is verified on its texts: what lies
 between the common beginning and end goes through a banded bit-parallel
 automaton, a word of 2 * threshold + 1 diagonals per number of edits.
@@ -146,46 +146,43 @@ def _pairs(met: DataFrame, threshold: int) -> DataFrame:
     return a.join(b, on).where(near).select("a", "b")
 
 
-def _all_but(parts: int) -> str:
-    """SQL of an array of (flag, h): hashes of line without one of its `parts` segments, and as if it were one shorter with one more in it."""
+def _parts(k: int) -> str:
+    """SQL of an array of (h, part): what two lines that differ in part alone share besides each of its k segments, and that segment.
 
-    def hashes(length: str, flag: int) -> str:
-        k = f"least({parts}, {length})"
-        start = f"j * ({length} div {k}) + greatest(0, j - ({k} - {length} % {k}))"
-        size = f"({length} div {k} + if(j >= {k} - {length} % {k}, 1, 0))"
-        return f"transform(sequence(0, {k} - 1), j -> named_struct('flag', {flag}, 'h', xxhash64({length}, j, left(line, {start}), right(line, {length} - ({start}) - {size}))))"
-
-    return f"concat({hashes('n', INDEX)}, {hashes('(n - 1)', SHORTER)})"
+    Of a SHORTER row, part has a character more than in the rows it probes for.
+    """
+    r = "(length(part) - more)"
+    k = f"least({k}, {r})"
+    start = f"(j * ({r} div {k}) + greatest(0, j - ({k} - {r} % {k})))"
+    size = f"({r} div {k} + if(j >= {k} - {r} % {k}, 1, 0))"
+    return f"transform(sequence(0, {k} - 1), j -> named_struct('h', xxhash64(h, {r}, j, left(part, {start}), right(part, {r} - {start} - {size})), 'part', substring(part, {start} + 1, {size} + more)))"
 
 
-#: SQL of an array of (flag, h): the whole line and the line without each character, which meet across lengths, and (flag PROBE) without each character by its place.
-BUT_ONE = """concat(array(named_struct('flag', 0, 'h', xxhash64('whole', line))),
-  transform(sequence(1, n), j -> named_struct('flag', 2, 'h', xxhash64('whole', concat(left(line, j - 1), right(line, n - j))))),
-  transform(sequence(1, n), j -> named_struct('flag', 1, 'h', xxhash64(n, j, left(line, j - 1), right(line, n - j)))))"""
+#: SQL of an array of (f, h) for rows whose part is at most one character: what meets an equal line, a line with one more, and any other in that place.
+ENDS = f"""if(more = 0, array(named_struct('f', {INDEX}, 'h', xxhash64(h, part)), named_struct('f', {PROBE}, 'h', h)),
+  transform(sequence(1, length(part)), j -> named_struct('f', {SHORTER}, 'h', xxhash64(h, concat(left(part, j - 1), right(part, length(part) - j))))))"""
 
 
-def _crowd_pairs(crowd: DataFrame, longest: int) -> list[DataFrame]:
-    """Pairs (a, b) for a threshold of 1 among lines (id, line, n, m) that crowd on some segment; not all, but enough to connect what is linked."""
-    out, parts = [], 16
-    while parts < longest:
-        met = _meetings(crowd.select("id", F.expr(f"inline({_all_but(parts)})"))).join(crowd.select("id", "m"), "id")
+def _crowd_pairs(rows: DataFrame, parts: int = 3) -> list[DataFrame]:
+    """Pairs (a, b) for a threshold of 1 among rows (h, id, flag, m, part) that share all but their parts; not all, but enough to connect what is linked."""
+    out = []
+    rows = Stored(rows, "line-crowd").df
+    while rows.count():
+        rows = rows.withColumn("more", F.when(F.col("flag") == SHORTER, 1).otherwise(0))
+        ends = rows.where("length(part) - more <= 1").select("id", F.expr(f"inline({ENDS})")).distinct()
+        # one line may stand for all that differ in this place alone, or that have one character more
+        center = ends.groupBy("h").agg(F.coalesce(F.max(F.when(F.col("f") == INDEX, F.col("id"))), F.min(F.when(F.col("f") == PROBE, F.col("id")))).alias("a"), F.count("*").alias("c"))
+        out.append(ends.join(center.where("c > 1 and a is not null"), "h").where("a != id").select("a", F.col("id").alias("b")))
+        met = _meetings(rows.where("length(part) - more > 1").select("id", "flag", "m", F.expr(f"inline({_parts(parts)})")))
         out.append(_pairs(met.where(F.col("c") <= PAIRED), 1))
-        ids = Stored(met.where(F.col("c") > PAIRED).select("id").distinct(), "line-crowd").df
-        crowd = Stored(crowd.join(_sent(ids), "id", "left_semi"), "line-crowd").df
-        longest = crowd.agg(F.max("n")).first()[0] or 0
-        parts *= 16
-    if longest:
-        keyed = crowd.select("id", F.expr(f"inline({BUT_ONE})")).distinct()
-        # one line may stand for all that are equal but for one character at one place, or that have one character more
-        center = keyed.groupBy("h").agg(F.coalesce(F.max(F.when(F.col("flag") == INDEX, F.col("id"))), F.min(F.when(F.col("flag") == PROBE, F.col("id")))).alias("a"), F.count("*").alias("c"))
-        out.append(keyed.join(center.where("c > 1 and a is not null"), "h").where("a != id").select("a", F.col("id").alias("b")))
+        rows = Stored(met.where(F.col("c") > PAIRED).drop("c"), "line-crowd").df
     return out
 
 
 def line_links(distinct: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """Edges (a, b) between ids that connect what is linked; distinct(id, n, k0, k1, ...) has each line once, lines(id, n, line) its text at least once."""
-    flags = [f for f, _ in _keys(threshold)]
-    keyed = distinct.select("id", F.expr(f"inline(array({', '.join(f'named_struct(\'flag\', {f}, \'h\', k{k})' for k, f in enumerate(flags))}))")).where("h is not null")
+    keys = ", ".join(f"named_struct('flag', {f}, 'key', {k}, 'h', k{k})" for k, (f, _) in enumerate(_keys(threshold)))
+    keyed = distinct.select("id", F.expr(f"inline(array({keys}))")).where("h is not null")
     met = _meetings(keyed)
     counts = _bits([f"shiftleft((octet_length(line) - octet_length(replace(line, '{c}', ''))) & 7, {3 * k})" for k, c in enumerate(LETTERS)])
     ids = Stored(met.select("id").distinct(), "line-ids").df
@@ -194,9 +191,9 @@ def line_links(distinct: DataFrame, lines: DataFrame, threshold: int) -> DataFra
     parts = [_pairs(met.where(F.col("c") <= PAIRED), threshold)]
     crowds = met.where(F.col("c") > PAIRED)
     if threshold == 1:
-        ids = Stored(crowds.select("id").distinct(), "line-crowd").df
-        crowd = Stored(texts.join(_sent(ids), "id", "left_semi"), "line-crowd").df
-        parts += _crowd_pairs(crowd, crowd.agg(F.max("n")).first()[0] or 0)
+        half = f"((n - if(flag = {SHORTER}, 1, 0)) div 2)"  # keys by turns share the first and the second half
+        part = F.expr(f"if(key % 2 = 0, substring(line, {half} + 1), left(line, n - (n - if(flag = {SHORTER}, 1, 0) - {half})))")
+        parts += _crowd_pairs(crowds.drop("m").join(texts, "id").select("h", "id", "flag", "m", part.alias("part")))
     else:
         parts.append(_pairs(crowds.withColumn("tile", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / TILE) + 1).cast("int")), threshold))
     pairs = parts[0]
