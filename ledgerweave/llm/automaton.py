@@ -5,6 +5,9 @@ groups, alternation and the quantifiers ``? * + {m} {m,n} {m,}``.  Rules are
 joined into one automaton by subset construction, minimised by partition
 refinement and stored as a transition array; an accepting state carries a bit
 per rule.
+
+A scanning automaton lets a match begin anywhere.  An anchored one reads from a
+given byte on and tells the longest match from there.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ _ESCAPES = {"n": {10}, "t": {9}, "r": {13}, "f": {12}, "v": {11}, "d": set(range
 class _Parser:
     """Builds a nondeterministic automaton: moves are (from, set of bytes, to), skips are (from, to)."""
 
-    def __init__(self, fold: bool):
-        self.fold, self.moves, self.skips, self.n = fold, [], [], 0
+    def __init__(self, fold: bool, cap: int | None = None):
+        self.fold, self.cap, self.moves, self.skips, self.n, self.depth = fold, cap, [], [], 0, 0
 
     def state(self) -> int:
         self.n += 1
@@ -49,6 +52,10 @@ class _Parser:
             mark = self.at
             a, b = self.atom()
             low, high = self.quantifier()
+            wide = self.text[self.at - 1] != "?" and len(self.moves[-1][1]) > 2
+            cut = self.cap is not None and not self.depth and (max(low, high or 0) > self.cap or (high is None and wide))
+            if cut:
+                low = high = min(low, self.cap)
             parts = [(a, b)]
             stop = self.at
             for _ in range(max(low, high or 1) - 1):
@@ -67,6 +74,8 @@ class _Parser:
             if high != 0:
                 self.skips.append((here, out))
             end = out
+            if cut:
+                self.at = len(self.text)
         return begin, end
 
     def quantifier(self) -> tuple[int, int | None]:
@@ -87,7 +96,9 @@ class _Parser:
         if c == "(":
             if self.text.startswith("?:", self.at):
                 self.at += 2
+            self.depth += 1
             out = self.choice()
+            self.depth -= 1
             self.at += 1
             return out
         chars = self.klass() if c == "[" else self.escape() if c == "\\" else (set(range(256)) - {10}) if c == "." else None
@@ -130,26 +141,30 @@ class _Parser:
 
 
 class Automaton:
-    """table[state * 256 + byte] is the next state; accepts[state] has bit r set where rule r has just matched."""
+    """table[state * 256 + byte] is the next state; accepts[state] has bit r set where rule r has just matched.
+
+    A rule is its text, whether case is ignored and, optionally, a cap: the rule is then read up to its first run of a class that is
+    unbounded or longer than the cap, and of that run no more than the cap, so the automaton stays small and matches wherever the rule does.
+    """
 
-    def __init__(self, rules: list[tuple[str, bool]]):
+    def __init__(self, rules: list[tuple], anchored: bool = False):
         nfa: list = []
         skips: list = []
         starts, ends, base = [], {}, 0
-        for r, (text, fold) in enumerate(rules):
-            p = _Parser(fold)
+        for r, (text, *how) in enumerate(rules):
+            p = _Parser(*how)
             a, b = p.parse(text)
             nfa += [(x + base, s, y + base) for x, s, y in p.moves]
             skips += [(x + base, y + base) for x, y in p.skips]
             starts.append(a + base)
             ends[b + base] = 1 << r
             base += p.n
-        table, accepts = self._subsets(nfa, skips, starts, ends, base)
+        table, accepts = self._subsets(nfa, skips, starts, ends, base, anchored)
         self.table, self.accepts = self._minimal(table, accepts)
         self.first_accepting = int(np.argmax(self.accepts != 0)) if self.accepts.any() else len(self.accepts)
 
     @staticmethod
-    def _subsets(moves, skips, starts, ends, n):
+    def _subsets(moves, skips, starts, ends, n, anchored):
         by: list = [[] for _ in range(n)]
         for x, s, y in moves:
             by[x].append((s, y))
@@ -172,6 +187,7 @@ class Automaton:
         for b in range(256):
             kinds.setdefault(frozenset(i for i, s in enumerate(splits) if b in s), []).append(b)
         origin = close(starts)
+        again = set() if anchored else origin
         useful = lambda states: frozenset(x for x in states if by[x] or x in ends)
         number = {useful(origin): 0}
         order, rows, accepts = [useful(origin)], [], []
@@ -179,7 +195,7 @@ class Automaton:
             accepts.append(sum({ends[x] for x in now if x in ends}))
             row = np.zeros(256, dtype=np.int64)
             for members in kinds.values():
-                nxt = useful(close({y for x in now for s, y in by[x] if members[0] in s}) | origin)  # a match may begin anywhere
+                nxt = useful(close({y for x in now for s, y in by[x] if members[0] in s}) | again)
                 if nxt not in number:
                     number[nxt] = len(order)
                     order.append(nxt)
@@ -243,3 +259,39 @@ class Automaton:
                 hit[i] = found
             out[lane] = hit
         return out
+
+    def _anchored(self):
+        """The table as a list of offsets, the first accepting offset, the offset from which nothing matches any more, and the bytes that may begin a match."""
+        if "walk" not in self.__dict__:
+            table = self.table.reshape(-1, 256)
+            dead = np.flatnonzero((table == np.arange(len(table))[:, None]).all(axis=1) & (self.accepts == 0))
+            sink = int(dead[0]) if len(dead) else -1
+            self.walk = [x << 8 for x in self.table.tolist()], self.first_accepting << 8, sink << 8, table[0] != sink
+        return self.walk
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "walk"}
+
+    def longest(self, text: bytes, start: int = 0) -> int:
+        """Where the longest match that begins at start ends, or -1."""
+        flat, accepting, sink, _ = self._anchored()
+        now, last = 0, start if self.accepts[0] else -1
+        for at in range(start, len(text)):
+            now = flat[now + text[at]]
+            if now >= accepting:
+                last = at + 1
+            elif now == sink:
+                break
+        return last
+
+    def spans(self, text: bytes) -> list[tuple[int, int]]:
+        """Leftmost longest matches that don't overlap, none of them empty."""
+        begins = self._anchored()[3]
+        out, end = [], 0
+        for start in np.flatnonzero(begins[np.frombuffer(text, dtype=np.uint8)]).tolist():
+            if start >= end:
+                stop = self.longest(text, start)
+                if stop > start:
+                    out.append((start, stop))
+                    end = stop
+        return out
