@@ -8,17 +8,19 @@ threshold are skipped and only the others are scored in full, for all passages
 of a batch at once.  Hits are then verified by shared word shingles of the
 whole item, of its question and of its answer (its last sentence).
 
-The index is cut into shards of `SHARD` items of like length, so that a passage
-always has room for an item; it is sent to the tasks in groups of at most
-`GROUP_BYTES` of item text, one pass over the documents per group.
+The index is cut into shards of at most `SHARD` items of like length, so that a
+passage always has room for an item, and holds postings, not a matrix: about
+six times the size of the items' text.  It is sent to the tasks in groups of at
+most `SENT_BYTES`, measured, one pass over the documents per group; the driver
+holds the whole of it.
 
 Words are runs of characters other than blanks, in any script; only ASCII letters
 are brought to lower case and only ASCII marks are cut off around words.
 
 Nulls and special cases: null or blank texts and items, and items of nothing but
-ASCII marks, match nothing; a null id
-stays null; an item found in several passages of a text gives one row, the best;
-repeated rows give repeated results; empty tables give an empty result.
+ASCII marks, match nothing; a null id stays null; item ids may be of any type;
+an item found in several passages of a text gives one row, the best; repeated
+rows give repeated results; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgerweave.llm._words import U64, Words, pieces, windows
+from ledgerweave.llm._words import U64, Words, give_back_memory, groups, pieces, windows
 
 SHARD, BLOCK = 256, 16
-GROUP_BYTES = 32 << 20
+#: Bytes of item text of a shard, and of index sent at once (more only where one shard has more).
+SHARD_BYTES, SENT_BYTES = 1 << 20, 16 << 20
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -40,10 +44,11 @@ _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tru
 def terms_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, lower-case and without marks around them, and where each text's begin."""
     w = Words(rows, lower=True)
-    s, e = w.starts.copy(), w.ends.copy()
-    for _ in range(4):
-        s += _PUNCT[w.buf[np.minimum(s, len(w.buf) - 1)]] & (s < e)
-        e -= _PUNCT[w.buf[np.maximum(e - 1, 0)]] & (e > s)
+    mark, at = _PUNCT[w.buf], np.arange(len(w.buf))
+    after = np.minimum.accumulate(np.where(mark, len(at), at)[::-1])[::-1]  # the next byte that isn't a mark
+    before = np.maximum.accumulate(np.where(mark, -1, at))
+    s = np.minimum(after[w.starts], w.ends)
+    e = np.maximum(before[w.ends - 1] + 1, s)
     w.starts, w.ends = s, e
     h = w.hashes()
     keep = e > s
@@ -66,13 +71,18 @@ def _shingles(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(windows(h, min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
+def _spread(first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key, its number of entries, and the places of all of them."""
+    n = first[key + 1] - first[key]
+    return n, np.repeat(first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Shard:
-    """An index of items (id, text)."""
+    """An inverted index of items (id, text): postings of each term, and its largest impact in each block of items."""
 
     def __init__(self, items: list, k1: float = 1.2, b: float = 0.75, shingle: int = 5):
         self.ids = [i for i, _ in items]
-        rows = [t.encode() for _, t in items]
-        h, first = terms_of(rows)
+        h, first = terms_of([t.encode() for _, t in items])
         size = np.diff(first)
         self.stride = max(64, int(size.max()))
         item = np.repeat(np.arange(len(items)), size)
@@ -83,93 +93,85 @@ class Shard:
         idf = np.log(1 + (len(items) - n + 0.5) / (n + 0.5))
         impact = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[i] / max(size.mean(), 1)))
         whole = np.bincount(i, weights=impact, minlength=len(items))
-        width = -(-len(items) // BLOCK) * BLOCK
-        self.impact = np.zeros((len(self.vocab), width), dtype=np.float32)
-        self.impact[t, i] = impact / np.maximum(whole[i], 1e-9)
-        self.block_max = self.impact.reshape(len(self.vocab), -1, BLOCK).max(axis=2)
-        self.known = np.zeros(1 << 20, dtype=bool)
-        self.known[self.vocab & U64((1 << 20) - 1)] = True
+        self.item, self.impact = i.astype(np.uint16), (impact / np.maximum(whole[i], 1e-9)).astype(np.float32)
+        self.first = np.searchsorted(t, np.arange(len(self.vocab) + 1))
+        self.n_blocks = -(-len(items) // BLOCK)
+        at = groups(t * self.n_blocks + i // BLOCK)
+        self.block, self.most = (i[at] // BLOCK).astype(np.uint16), np.maximum.reduceat(self.impact, at)
+        self.block_first = np.searchsorted(t[at], np.arange(len(self.vocab) + 1))
         self.parts = []
         for _, text in items:
             q, a = split_item(text)
             hashes = [terms_of([x.encode()])[0] for x in (text, q, a)]
             self.parts.append(tuple((_shingles(x, shingle), min(shingle, len(x))) for x in hashes))
 
+    def nbytes(self) -> int:
+        arrays = (self.vocab, self.item, self.impact, self.first, self.block, self.most, self.block_first)
+        return sum(x.nbytes for x in arrays) + sum(x.nbytes for p in self.parts for x, _ in p)
+
+    def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in h of words that have postings, and their terms."""
+        if "known" not in self.__dict__:  # made in the task, not sent
+            self.known = np.zeros(1 << 20, dtype=bool)
+            self.known[self.vocab & U64((1 << 20) - 1)] = True
+        ok = np.flatnonzero(self.known[h & U64((1 << 20) - 1)])
+        term = np.searchsorted(self.vocab, h[ok])
+        same = self.vocab[np.minimum(term, len(self.vocab) - 1)] == h[ok]
+        return ok[same], term[same]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
     def hits(self, h: np.ndarray, first: np.ndarray, threshold: float, pruned: bool = True):
         """(text, first word, last word, item, score) of every passage and item at or above the threshold."""
-        stride = self.stride
+        stride, least = self.stride, threshold - 1e-4 if pruned else -1
         at = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         n_seg = -(-np.diff(first) // stride)
         seg_first = np.concatenate(([0], np.cumsum(n_seg)))
-        ok = np.flatnonzero(self.known[h & U64((1 << 20) - 1)])
-        term = np.searchsorted(self.vocab, h[ok])
-        same = self.vocab[np.minimum(term, len(self.vocab) - 1)] == h[ok]
-        ok, term = ok[same], term[same]
-        seg = seg_first[text[ok]] + at[ok] // stride
-        pair = np.unique(seg * len(self.vocab) + term)
+        n = int(seg_first[-1])
+        ok, term = self.terms(h)
+        pair = np.unique((seg_first[text[ok]] + at[ok] // stride) * len(self.vocab) + term)
         seg, term = pair // len(self.vocab), pair % len(self.vocab)
         if not len(seg):
             return []
         # bounds by segment and block; a passage is a segment and the next of the same text
-        cut = np.concatenate(([0], np.flatnonzero(seg[1:] != seg[:-1]) + 1))
-        bound = np.zeros((seg_first[-1] + 1, self.block_max.shape[1]), dtype=np.float32)
-        step = 1 << 18
-        for k in range(0, len(cut), max(1, step // 16)):
-            c = cut[k : k + max(1, step // 16)]
-            stop = cut[k + len(c)] if k + len(c) < len(cut) else len(seg)
-            bound[seg[c]] = np.add.reduceat(self.block_max[term[c[0] : stop]], c - c[0], axis=0)
-        last = np.zeros(len(bound), dtype=bool)
-        last[seg_first[1:][n_seg > 0] - 1] = True
+        times, place = _spread(self.block_first, term)
+        bound = np.bincount(np.repeat(seg, times) * self.n_blocks + self.block[place], weights=self.most[place], minlength=n * self.n_blocks).reshape(n, -1)
+        goes_on = np.ones(n, dtype=bool)
+        goes_on[seg_first[1:][n_seg > 0] - 1] = False
         passage = bound.copy()
-        passage[:-1][~last[:-1]] += bound[1:][~last[:-1]]
-        live_p, live_b = np.nonzero(passage >= (threshold - 1e-4 if pruned else -1))
-        inside = live_p < seg_first[-1]
-        live_p, live_b = live_p[inside], live_b[inside]
-        # blocks that may reach the threshold: each item's own bound, counting a term of both segments twice
-        near_p, near_i = [], []
-        for block in np.unique(live_b):
-            p = live_p[live_b == block]
-            need = np.zeros(len(bound), dtype=bool)
-            need[p] = True
-            need[p[~last[p]] + 1] = True
-            idx = np.flatnonzero(need[seg])
-            if not len(idx):
-                continue
-            s = seg[idx]
-            c = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1))
-            sums = np.zeros((len(bound), BLOCK), dtype=np.float32)
-            own = np.ascontiguousarray(self.impact[:, block * BLOCK : (block + 1) * BLOCK])
-            sums[s[c]] = np.add.reduceat(own[term[idx]], c, axis=0)
-            both = sums[p]
-            both[~last[p]] += sums[p[~last[p]] + 1]
-            r, i = np.nonzero(both >= (threshold - 1e-4 if pruned else -1))
-            near_p.append(p[r])
-            near_i.append(i + block * BLOCK)
-        if not near_p:
-            return []
-        near_p, near_i = np.concatenate(near_p), np.concatenate(near_i)
-        order = np.lexsort((near_i, near_p))
-        near_p, near_i = near_p[order], near_i[order]
-        seg_end = np.append(cut[1:], len(seg))
-        where = {int(s): (int(a), int(b)) for s, a, b in zip(seg[cut], cut, seg_end)}
+        passage[:-1][goes_on[:-1]] += bound[1:][goes_on[:-1]]
+        live = passage >= least
+        # in blocks that may reach the threshold, each item's own bound, counting a term of both segments twice
+        need = live.copy()
+        need[1:][goes_on[:-1]] |= live[:-1][goes_on[:-1]]
+        some = need.any(axis=1)
+        number = np.cumsum(some) - 1
+        mine = np.flatnonzero(some[seg])
+        times, place = _spread(self.first, term[mine])
+        row = np.repeat(seg[mine], times)
+        use = need[row, self.item[place] // BLOCK]
+        row, place = number[row[use]], place[use]
+        sums = np.bincount(row * len(self.ids) + self.item[place], weights=self.impact[place], minlength=int(some.sum()) * len(self.ids)).reshape(-1, len(self.ids))
+        p = np.flatnonzero(live.any(axis=1))
+        both = sums[number[p]]
+        both[goes_on[p]] += sums[number[p[goes_on[p]] + 1]]
+        r, near = np.nonzero((both >= least) & live[p][:, np.arange(len(self.ids)) // BLOCK])
+        seg_at = np.searchsorted(seg, np.arange(n + 1))
         seg_text = np.repeat(np.arange(len(n_seg)), n_seg)
         out = []
-        starts = np.concatenate(([0], np.flatnonzero(near_p[1:] != near_p[:-1]) + 1)) if len(near_p) else []
-        for x, y in zip(starts, [*starts[1:], len(near_p)]):
-            p = int(near_p[x])
-            mine = [term[slice(*where[s])] for s in ((p,) if last[p] else (p, p + 1)) if s in where]
-            if not mine:
-                continue
-            mine = np.unique(np.concatenate(mine))
-            t = int(seg_text[p])
-            begin = int(first[t] + (p - seg_first[t]) * stride)
+        cut = np.append(groups(r), len(r))
+        for x, y in zip(cut[:-1], cut[1:]):
+            k = int(p[r[x]])
+            mine = np.unique(term[seg_at[k] : seg_at[k + 1 + goes_on[k]]])
+            t = int(seg_text[k])
+            begin = int(first[t] + (k - seg_first[t]) * stride)
             end = int(min(first[t + 1], begin + 2 * stride))
-            columns = near_i[x:y]
-            scores = self.impact[np.ix_(mine, columns)].sum(axis=0)
+            _, place = _spread(self.first, mine)
+            scores = np.bincount(self.item[place], weights=self.impact[place], minlength=len(self.ids))[near[x:y]]
             for c in np.flatnonzero(scores >= threshold):
-                if columns[c] < len(self.ids):
-                    out.append((t, begin, end, int(columns[c]), float(scores[c])))
+                out.append((t, begin, end, int(near[x + c]), float(scores[c])))
         return out
 
     def overlaps(self, h: np.ndarray, item: int) -> list[float]:
@@ -198,6 +200,7 @@ def _found(shards: list[Shard], texts: pa.Array, threshold: float, least: float,
 
 def _without_hits(shards: list[Shard], text_col: str, *limits: float):
     def run(batches):
+        give_back_memory()
         for batch in batches:
             clean = np.ones(batch.num_rows, dtype=bool)
             clean[[x[0] for x in _found(shards, batch.column(batch.schema.get_field_index(text_col)), *limits)]] = False
@@ -206,36 +209,45 @@ def _without_hits(shards: list[Shard], text_col: str, *limits: float):
     return run
 
 
-def _search(shards: list[Shard], threshold: float, least: float, least_part: float):
+def _search(shards: list[Shard], item_type: pa.DataType, threshold: float, least: float, least_part: float):
     def run(batches):
+        give_back_memory()
         for batch in batches:
             ids = batch.column(0)
             out = _found(shards, batch.column(1), threshold, least, least_part)
             yield pa.record_batch(
-                [ids.take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.int64()), *(pa.array([x[k] for x in out], pa.float64()) for k in (2, 3, 4, 5))],
+                [ids.take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], item_type), *(pa.array([x[k] for x in out], pa.float64()) for k in (2, 3, 4, 5))],
                 names=["_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"],
             )
 
     return run
 
 
-def _shards(group: list) -> list[Shard]:
-    return [Shard(group[k : k + SHARD]) for k in range(0, len(group), SHARD)]
+def _item_groups(items: DataFrame, item_col: str, item_text_col: str) -> list[list[Shard]]:
+    """Shards of the items that have a term, by length, in groups for one pass each."""
+    known = items.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]")).orderBy(F.length("t"), "i")
+    out, sent, held, size = [], SENT_BYTES + 1, [], 0
 
+    def close():
+        nonlocal sent, held, size
+        if held:
+            shard = Shard(held)
+            if sent + shard.nbytes() > SENT_BYTES:
+                out.append([])
+                sent = 0
+            out[-1].append(shard)
+            sent += shard.nbytes()
+            held, size = [], 0
 
-def _item_groups(items: DataFrame, item_col: str, item_text_col: str) -> list[list]:
-    """(id, text) of the items that have a term, by length, in groups for one pass each."""
-    known = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]")).orderBy(F.length("t"), "i")
-    out, size = [], GROUP_BYTES + 1
     for r in known.toLocalIterator():
         text = r.t.encode()
         if not len(terms_of([text])[0]):  # nothing but marks
             continue
-        if size > GROUP_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append((r.i, r.t))
+        if len(held) == SHARD or (held and size + len(text) > SHARD_BYTES):
+            close()
+        held.append((r.i, r.t))
         size += len(text)
+    close()
     return out
 
 
@@ -246,11 +258,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     `part_overlap` of its question's and of its answer's.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {kind}, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+    item_kind = items.schema[item_col].dataType
+    schema = f"_id {kind}, item_id {item_kind.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = None
     for group in _item_groups(items, item_col, item_text_col) or [[]]:
-        part = rows.mapInArrow(_search(_shards(group), threshold, overlap, part_overlap), schema)
+        part = rows.mapInArrow(_search(group, to_arrow_type(item_kind), threshold, overlap, part_overlap), schema)
         found = part if found is None else found.unionAll(part)
     return found.withColumnRenamed("_id", id_col)
 
@@ -259,5 +272,5 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     """The rows of docs without a hit, all columns kept, judged row by row: ids may be null or shared."""
     schema, out = docs.schema, docs
     for group in _item_groups(items, item_col, item_text_col):
-        out = out.mapInArrow(_without_hits(_shards(group), text_col, threshold, overlap, part_overlap), schema)
+        out = out.mapInArrow(_without_hits(group, text_col, threshold, overlap, part_overlap), schema)
     return out

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -63,8 +64,31 @@ def test_pruning_loses_no_score():
         assert a == b and a
     # the scores are those of BM25 over the passage's terms
     t, begin, end, item, score = shard.hits(h, first, 0.5)[0]
-    present = np.isin(shard.vocab, h[begin:end])
-    assert abs(shard.impact[present, item].sum() - score) < 1e-4
+    term = np.repeat(np.arange(len(shard.vocab)), np.diff(shard.first))
+    present = np.isin(shard.vocab, h[begin:end])[term] & (shard.item == item)
+    assert abs(shard.impact[present].sum() - score) < 1e-4
+
+
+def test_marks_text_ids_and_repeated_rows(spark):
+    item = "Which of these rivers runs through the old town of the north? It is the long blue river of the hills."
+    marked = "so: " + " ".join(f"*****{w}!!!!!!)" for w in item.split()) + " end"
+    df = spark.createDataFrame([(1, marked), (1, marked), (2, "nothing of it " * 20000)], "doc_id long, text string")
+    bench = spark.createDataFrame([("river-1", item), ("other", "One more question of no use here at all? No answer to it.")], "item_id string, text string")
+    assert [(x.doc_id, x.item_id) for x in d.contaminated(df, bench).collect()] == [(1, "river-1")] * 2
+
+
+def test_index_is_sized_and_sent_in_groups(spark, monkeypatch):
+    items, docs = sample(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = {tuple(x)[:2] for x in d.contaminated(df, bench).collect()}
+    monkeypatch.setattr(d, "SHARD", 7)
+    monkeypatch.setattr(d, "SENT_BYTES", 20_000)
+    groups = d._item_groups(bench, "item_id", "text")
+    assert len(groups) > 1 and all(sum(s.nbytes() for s in g) <= 20_000 for g in groups)
+    assert {tuple(x)[:2] for x in d.contaminated(df, bench).collect()} == one == brute(items, docs)
+    text = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(d.Shard(items))) < 20 * text
 
 
 def test_clean_rows_stay_where_ids_are_null_or_shared(spark):
