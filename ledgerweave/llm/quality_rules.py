@@ -4,9 +4,11 @@ Fixed cutoffs fail texts outright.  The others are set for each language and
 source from mergeable KLL quantile sketches of each measure: a text is kept if
 every measure lies within its group's fences, the quartiles widened by `reach`
 times the distance between them and never narrower than `floor` (so a group
-whose texts are all alike doesn't fail one that differs slightly).  Groups with
-fewer than `least` texts that pass the fixed cutoffs take their language's
-thresholds, and where that is small too, those of all texts.
+whose texts are all alike doesn't fail one that differs slightly).  Quartiles of
+a group are drawn towards its language's, and those towards all texts', as if
+`weight` texts more had the parent's, so that small groups don't set fences of
+their own and no size switches the method.  A group none of whose texts passes
+the fixed cutoffs takes its parent's.
 
 Nulls and special cases: null text has no words and fails; null language or
 source is a group of its own; a null id stays null; repeated rows count and are
@@ -79,29 +81,41 @@ def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", so
     return df
 
 
-def thresholds(df: DataFrame, reach: float, least: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def thresholds(df: DataFrame, reach: float, weight: float, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fences by language and source, by language, and overall: sketches of the first are merged into the others."""
     good = df.where(~F.col("base_failed"))
     sketches = good.groupBy("_lang", "_source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(m, k).alias(m) for m in MEASURES))
+    names = [f"{m}_{q}" for m in MEASURES for q in (25, 75)]
 
-    def fences(df: DataFrame, keys: list[str]) -> DataFrame:
-        out = [*keys]
-        for m, (floor, low) in MEASURES.items():
-            q = lambda p: F.kll_sketch_get_quantile_double(m, F.lit(p))  # noqa: B023, E731
-            wide = F.greatest(reach * (q(0.75) - q(0.25)), F.lit(floor))
-            out += [(q(0.25) - wide if low else F.lit(None).cast("double")).alias(f"{m}_low"), (q(0.75) + wide).alias(f"{m}_high")]
-        return df.where(F.col("n") >= least).select(*out)
+    def quartiles(df: DataFrame, *keys: str) -> DataFrame:
+        return df.select(*keys, "n", *(F.kll_sketch_get_quantile_double(m, F.lit(q / 100)).alias(f"{m}_{q}") for m in MEASURES for q in (25, 75)))
 
     def merged(*keys: str) -> DataFrame:
         return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES))
 
-    return fences(sketches, ["_lang", "_source"]), fences(merged("_lang"), ["_lang"]), fences(merged().where("n is not null"), [])
+    def drawn(df: DataFrame, parent: DataFrame, *keys: str) -> DataFrame:
+        up = parent.select(*(F.col(c).alias(f"up_{c}") for c in parent.columns))
+        both = df.join(up, df["_lang"].eqNullSafe(up["up__lang"])) if "_lang" in parent.columns else df.crossJoin(up)  # one row
+        return both.select(*keys, "n", *((F.col(c) * (F.col("n") / (F.col("n") + weight)) + F.col(f"up_{c}") * (weight / (F.col("n") + weight))).alias(c) for c in names))
+
+    def fences(df: DataFrame, *keys: str) -> DataFrame:
+        out = [*keys]
+        for m, (floor, low) in MEASURES.items():
+            q1, q3 = F.col(f"{m}_25"), F.col(f"{m}_75")
+            wide = F.greatest(reach * (q3 - q1), F.lit(floor))
+            out += [(q1 - wide if low else F.lit(None).cast("double")).alias(f"{m}_low"), (q3 + wide).alias(f"{m}_high")]
+        return df.select(*out)
+
+    overall = quartiles(merged().where("n is not null"))
+    by_lang = drawn(quartiles(merged("_lang"), "_lang"), overall, "_lang")
+    near = drawn(quartiles(sketches, "_lang", "_source"), by_lang, "_lang", "_source")
+    return fences(near, "_lang", "_source"), fences(by_lang, "_lang"), fences(overall)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: float = 3.0, least: int = 200, k: int = 400, **cutoffs) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: float = 3.0, weight: float = 200.0, k: int = 400, **cutoffs) -> DataFrame:
     """The id, base counts, base_failed, kept, and the measures with the fences that judged them."""
     stored = Stored(measured(docs.select(*dict.fromkeys([id_col, text_col, lang_col, source_col])), text_col, lang_col, source_col, **cutoffs).select(F.col(f"_row.{id_col}").alias("_id"), "*").drop("_row"), "measures").df
-    near, by_lang, overall = thresholds(stored, reach, least, k)
+    near, by_lang, overall = thresholds(stored, reach, weight, k)
     cols = [f"{m}_{s}" for m in MEASURES for s in ("low", "high")]
     out = stored
     for tag, df, keys in (("a", near, ["_lang", "_source"]), ("b", by_lang, ["_lang"]), ("c", overall, [])):
