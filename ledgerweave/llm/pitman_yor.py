@@ -23,8 +23,9 @@ Tokens of one text that are alike travel once.  The global sums that probabiliti
 need (tokens, words, customers and tables of the parent) are four numbers.
 
 Numbers of tables of more than `EXACT` customers are drawn by seating them in
-growing batches instead.  The draws' seed is fixed, but they follow the number
-of shuffle partitions, as do the last digits of scores.
+growing batches instead.  Buckets are as many as the bytes of text need, and the
+draws' seeds follow the buckets, so scores depend on the texts alone and not on
+how they or the shuffles are partitioned.
 
 Nulls and special cases: null text has only its end; a null id counts as empty
 text in the fold rule; repeated rows are scored (and learnt from) each; without
@@ -39,13 +40,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerweave.llm._store import Stored, n_partitions
+from ledgerweave.llm._store import Stored
 from ledgerweave.llm._words import U64, Words, give_back_memory, groups, narrow, pack, pieces, planes, unpack, unplanes
 
 END, START = U64(0x0E4D), U64(0x57A7)
 #: Tokens of a task that are sorted and sent together.
 FLUSH_TOKENS = 2 << 20
 PIECE_BYTES = 1 << 20
+#: Bytes of text for each bucket of words, and of contexts.
+BUCKET_BYTES = 6 << 20
 EXACT = 256
 FIXED = float(1 << 32)  # sums of logarithms travel as whole multiples of 2 ** -32
 ROW = "bucket int, kind int, flush long, blob binary"
@@ -280,6 +283,7 @@ def _sent(contexts: np.ndarray, values: np.ndarray, asked: np.ndarray, mine: int
 
 def _totals(table: pa.Table) -> pa.Table:
     """The sum for each context, sent back to the word buckets that asked."""
+    give_back_memory()
     mine = table.column("bucket")[0].as_py()
     got = [unpack(x) for x in table.column("blob").to_pylist()]
     _, at = np.unique(np.concatenate([_unsorted(c) for c, *_ in got]), return_inverse=True)
@@ -293,6 +297,7 @@ def _sweep(k: int, totals: np.ndarray, n: int, d: float, theta: float, burn: int
     known, all_customers, all_tables = totals
 
     def run(table: pa.Table) -> pa.Table:
+        give_back_memory()
         mine = table.column("bucket")[0].as_py()
         rows = sorted(zip(table.column("kind").to_pylist(), table.column("flush").to_pylist(), table.column("blob").to_pylist()))
         of = lambda kind: [unpack(x) for r, _, x in rows if r == kind]
@@ -465,6 +470,7 @@ def _together(totals: np.ndarray, kind: str):
     each = np.log10(n_tokens + 0.1 * (n_words + 1))
 
     def run(table: pa.Table) -> pa.Table:
+        give_back_memory()
         rows = list(zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()))
         ids, held, size = next(unpack(b) for k, b in rows if k == DOCS)
         base, score, known = (np.zeros(len(size), dtype=np.int64) for _ in range(3))
@@ -488,7 +494,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows whose crc32 of the id as text is 0 modulo `folds` are held out of training.
     """
     spark = docs.sparkSession
-    n = 2 * n_partitions(spark)  # groups of a partition are worked on one after the other
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1)).first()[0] or 0
+    n = max(2, -(-size // BUCKET_BYTES))  # groups of a partition are worked on one after the other
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds != 0).alias("train"), F.col(text_col).alias("_text"))
     met = rows.mapInArrow(_send(n), ROW).groupBy("bucket").applyInArrow(_by_word(n), ROW)

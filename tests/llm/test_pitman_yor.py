@@ -119,3 +119,18 @@ def test_scores_do_not_follow_the_number_of_partitions(spark):
 
     two, again, many = often_over_seldom("2", 5), often_over_seldom("2", 6), often_over_seldom("200", 5)
     assert abs(two - many) < 3 * abs(two - again) + 0.1, (two, again, many)
+
+
+def test_scores_are_equal_however_rows_are_partitioned(spark, monkeypatch):
+    monkeypatch.setattr(py, "BUCKET_BYTES", 1500)
+    r = random.Random(12)
+    rows = [(i, " ".join(f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randrange(40)))) for i in range(90)]
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for partitions, slices in ((2, 1), (9, 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            df = spark.createDataFrame(rows, "doc_id long, text string").repartition(slices)
+            got.append(sorted(tuple(x) for x in py.score_texts(df).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and len(got[0]) == 90
