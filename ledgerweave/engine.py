@@ -1,14 +1,24 @@
 """A ledger in a folder: operations in, outcomes out, state recovered from a snapshot and the log's tail.
 
 The folder holds `log/` (Parquet, an append per submitted table), `state-<lsn>/`
-(accounts, holds and keys as of a log number), `MANIFEST` (which snapshot
-counts) and `LOCK`.  One process at a time has it open.
+(accounts, holds and keys as of a log number), `MANIFEST-<lsn>` (which snapshot
+counts: the highest; each is renamed into place whole) and `LOCK`.
+
+One ledger at a time has the folder open.  `LOCK` names its owner, which renews
+it while it lives.  It falls with the owner: at once where that was in a process
+of this host that has ended, or in this process and is gone, and else after
+`LOCK_SECONDS` without renewal.  An owner whose lock was taken writes no more.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import socket
+import threading
 import time
 import uuid
+import weakref
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -26,6 +36,11 @@ _LOG = "seq bigint, lsn bigint, kind string, key string, fingerprint string, com
 _RESULT = ("status", "settled_amount", "amount", "from_account", "to_account", "hold_id", "from_balance", "from_reserved", "to_balance", "to_reserved", "currency")
 
 
+#: Seconds after which a lock that isn't renewed has fallen.
+LOCK_SECONDS = 60.0
+_OPEN: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
+
+
 class LedgerError(Exception):
     def __init__(self, code: str):
         super().__init__(code)
@@ -71,21 +86,101 @@ class _Folder:
             stream.close()
 
     def publish(self, name: str, data: bytes) -> None:
-        """Written under another name, then renamed over what was there."""
+        """A new file, written under another name and renamed when it is whole."""
         new = f"{name}.{uuid.uuid4().hex}.tmp"
-        stream = self.fs.create(self.at(new), True)
+        self.write(new, data)
+        if not self.fs.rename(self.at(new), self.at(name)):
+            raise OSError(f"cannot publish {name}")
+
+    def write(self, name: str, data: bytes, replace: bool = True) -> None:
+        stream = self.fs.create(self.at(name), replace)
         stream.write(data)
         stream.hsync()
         stream.close()
-        if self.exists(name):
-            self.fs.delete(self.at(name), False)
-        if not self.fs.rename(self.at(new), self.at(name)):
-            raise OSError(f"cannot publish {name}")
+
+    def age(self, name: str) -> float:
+        """Seconds since the file was written."""
+        return time.time() - self.fs.getFileStatus(self.at(name)).getModificationTime() / 1000
 
     def remove(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
 
 
+class _Lock:
+    """The file LOCK of a folder, renewed by a thread until it is released or its owner is gone."""
+
+    def __init__(self, folder: _Folder):
+        self.folder, self.owner = folder, {"host": socket.gethostname(), "pid": os.getpid(), "id": uuid.uuid4().hex}
+        self._stop = threading.Event()
+        data = json.dumps(self.owner).encode()
+        for _ in range(3):
+            try:
+                folder.write("LOCK", data, replace=False)
+                break
+            except Exception as e:  # the file is there, or was a moment ago
+                if not folder.exists("LOCK"):
+                    if "AlreadyExists" not in str(e):
+                        raise
+                    continue
+                if not self._fallen():
+                    raise LedgerError("ALREADY_OPEN") from e
+                gone = f"LOCK.{self.owner['id']}.tmp"  # of several that find it fallen, one renames it
+                folder.fs.rename(folder.at("LOCK"), folder.at(gone))
+                folder.remove(gone)
+        if not self.held():
+            raise LedgerError("ALREADY_OPEN")
+        _OPEN[self.owner["id"]] = self
+        threading.Thread(target=_renew, args=(weakref.ref(self), self._stop), daemon=True).start()
+
+    def _read(self) -> dict | None:
+        try:
+            return json.loads(self.folder.read("LOCK"))
+        except Exception:
+            return None
+
+    def _fallen(self) -> bool:
+        owner = self._read()
+        if owner is None:  # being written, or torn
+            return self.folder.exists("LOCK") and self.folder.age("LOCK") > LOCK_SECONDS
+        if owner["host"] == self.owner["host"]:
+            if owner["pid"] == self.owner["pid"]:
+                return owner["id"] not in _OPEN
+            try:
+                os.kill(owner["pid"], 0)
+            except ProcessLookupError:
+                return True
+            except PermissionError:
+                pass
+        return self.folder.age("LOCK") > LOCK_SECONDS
+
+    def held(self) -> bool:
+        owner = self._read()
+        return owner is not None and owner["id"] == self.owner["id"]
+
+    def renew(self) -> None:
+        if self.held():
+            now = int(time.time() * 1000)
+            self.folder.fs.setTimes(self.folder.at("LOCK"), now, -1)
+
+    def release(self) -> None:
+        self._stop.set()
+        _OPEN.pop(self.owner["id"], None)
+        if self.held():
+            self.folder.remove("LOCK")
+
+
+def _renew(lock: weakref.ref, stop: threading.Event) -> None:
+    while not stop.wait(LOCK_SECONDS / 4):
+        mine = lock()
+        if mine is None:
+            return
+        try:
+            mine.renew()
+        except Exception:  # noqa: S110  the next renewal may succeed; if none does, the lock falls
+            pass
+        del mine
+
+
 class Ledger:
     """All operations of the ledger API, one at a time or as tables of `ops`."""
 
@@ -93,11 +188,11 @@ class Ledger:
         self.spark, self.options, self._clock = spark, options or Options(), clock
         self._dir = _Folder(spark, path)
         self._dir.fs.mkdirs(self._dir._Path(self._dir.path))
-        if not self._dir.fs.createNewFile(self._dir.at("LOCK")):
-            raise LedgerError("ALREADY_OPEN")
+        self._lock = _Lock(self._dir)
         self._closed = self._poisoned = False
-        self._counts = dict.fromkeys(("duplicates", "batches", "checkpoint_attempts", "checkpoint_successes"), 0)
+        self._counts = dict.fromkeys(("mutations", "syncs", "duplicates", "batches", "checkpoint_attempts", "checkpoint_successes"), 0)
         self._since_checkpoint = 0
+        self._sync_seconds, self._last_checkpoint, self._checkpoint_error = 0.0, None, None
         began = time.time()
         try:
             for name in self._dir.names():
@@ -109,21 +204,23 @@ class Ledger:
             if violations:
                 raise LedgerError("CORRUPT")
         except BaseException:
-            self._dir.remove("LOCK")
+            self._lock.release()
             raise
-        self._recovery_seconds = time.time() - began
+        self._opened = time.time()
+        self._recovery_seconds = self._opened - began
 
     # --- state -----------------------------------------------------------
 
     def _newest_snapshot(self) -> int:
-        """The manifest's snapshot, else the newest whole one without a manifest, else none (0)."""
+        """The newest manifest's snapshot, else the newest whole one without a manifest, else none (0)."""
         done = sorted(int(n[6:]) for n in self._dir.names() if n.startswith("state-") and self._dir.exists(f"{n}/DONE"))
-        if self._dir.exists("MANIFEST"):
+        manifests = sorted(int(n[9:]) for n in self._dir.names() if n.startswith("MANIFEST-") and n[9:].isdigit())
+        if manifests:
             try:
-                base = decode_envelope(MANIFEST_MAGIC, self._dir.read("MANIFEST"))["base_lsn"]
-            except ValueError as e:
+                base = decode_envelope(MANIFEST_MAGIC, self._dir.read(f"MANIFEST-{manifests[-1]}"))["base_lsn"]
+            except Exception as e:
                 raise LedgerError("CORRUPT") from e
-            if base not in done:
+            if base not in done or base != manifests[-1]:
                 raise LedgerError("CORRUPT")
             return base
         return done[-1] if done else 0
@@ -169,6 +266,8 @@ class Ledger:
     def _usable(self, writing: bool = False) -> None:
         if self._closed:
             raise LedgerError("CLOSED")
+        if writing and not self._poisoned and not self._lock.held():
+            self._poisoned = True
         if writing and self._poisoned:
             raise LedgerError("POISONED")
 
@@ -188,6 +287,7 @@ class Ledger:
         out = replay.with_lsn(told, self._lsn)
         key = ops.select("seq", F.col("ts_nanos").alias("committed_at"), fingerprint(F.col("kind"), request_json()).alias("fingerprint"))
         path = f"{self._dir.path}/outcomes-{uuid.uuid4().hex}.tmp"
+        began = time.time()
         try:
             out.join(key, "seq").write.parquet(path)
             out = self.spark.read.parquet(path)
@@ -199,11 +299,19 @@ class Ledger:
             self._poisoned = True
             raise
         self._lsn += n[0]
+        self._sync_seconds += time.time() - began
+        self._counts["mutations"] += n[0]
+        self._counts["syncs"] += bool(n[0])
         self._counts["duplicates"] += n[1]
         self._counts["batches"] += -(-n[0] // self.options.max_batch)
         self._since_checkpoint += n[0]
-        if self.options.checkpoint_every and self._since_checkpoint >= self.options.checkpoint_every:
-            self.checkpoint()
+        due = self.options.checkpoint_every and self._since_checkpoint >= self.options.checkpoint_every
+        late = self._since_checkpoint and self.options.checkpoint_seconds and time.time() - (self._last_checkpoint or self._opened) >= self.options.checkpoint_seconds
+        if due or late:
+            try:
+                self.checkpoint()
+            except Exception as e:  # the log has everything; the next submission tries again
+                self._checkpoint_error = str(e)
         return out
 
     def _one(self, kind: str, key: str, **fields) -> Row:
@@ -251,7 +359,7 @@ class Ledger:
     def stats(self) -> Row:
         self._usable()
         h = self.holds().agg(F.count_if(F.expr("status = 'reserved'")).alias("a"), F.count_if(F.expr("status != 'reserved'")).alias("t")).first()
-        return Row(last_lsn=self._lsn, idempotency_keys=self.keys().count(), active_holds=h.a, terminal_holds=h.t, poisoned=self._poisoned, recovery_seconds=self._recovery_seconds, checkpoint_lsn=self._base, **self._counts)
+        return Row(last_lsn=self._lsn, idempotency_keys=self.keys().count(), active_holds=h.a, terminal_holds=h.t, poisoned=self._poisoned, recovery_seconds=self._recovery_seconds, checkpoint_lsn=self._base, sync_seconds=self._sync_seconds, queue_depth=0, last_checkpoint=self._last_checkpoint, checkpoint_error=self._checkpoint_error, **self._counts)
 
     # --- snapshots -------------------------------------------------------
 
@@ -267,13 +375,15 @@ class Ledger:
         for part, df in (("accounts", self.accounts().drop("available")), ("holds", self.holds()), ("keys", self.keys())):
             df.write.parquet(f"{self._dir.path}/{name}/{part}")
         self._dir.publish(f"{name}/DONE", b"")
-        self._dir.publish("MANIFEST", encode_envelope(MANIFEST_MAGIC, {"version": 2, "checkpoint": name, "base_lsn": base}))
+        self._dir.publish(f"MANIFEST-{base}", encode_envelope(MANIFEST_MAGIC, {"version": 2, "checkpoint": name, "base_lsn": base}))
         self._base = base
         self._since_checkpoint = 0
         self._dir.remove("log")  # all of it is covered: this process is the only writer
         if old:
+            self._dir.remove(f"MANIFEST-{old}")
             self._dir.remove(f"state-{old}")
         self._counts["checkpoint_successes"] += 1
+        self._last_checkpoint, self._checkpoint_error = time.time(), None
         return base
 
     def close(self) -> None:
@@ -281,7 +391,7 @@ class Ledger:
             for name in self._dir.names():
                 if name.endswith(".tmp"):
                     self._dir.remove(name)
-            self._dir.remove("LOCK")
+            self._lock.release()
             self._closed = True
 
     def __enter__(self):

@@ -51,11 +51,12 @@ class Options:
     max_batch: int = 64
     segment_bytes: int = 64 << 20
     checkpoint_every: int = 0
+    checkpoint_seconds: float = 0
 
     def __post_init__(self):
         if self.retention_nanos < 0:
             raise ValueError("retention must not be negative")
-        if self.max_batch < 1 or self.segment_bytes < 1 or self.checkpoint_every < 0:
+        if self.max_batch < 1 or self.segment_bytes < 1 or self.checkpoint_every < 0 or self.checkpoint_seconds < 0:
             raise ValueError("batch and segment sizes must be positive")
 
     @property

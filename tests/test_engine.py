@@ -1,3 +1,11 @@
+import gc
+import json
+import os
+import socket
+import subprocess
+import sys
+import time
+
 import pytest
 
 from ledgerweave.engine import Ledger, LedgerError
@@ -74,12 +82,50 @@ def test_damaged_manifest_is_refused(spark, tmp_path):
     with Ledger(spark, str(path)) as db:
         db.create_account("k", "a", "USD", 1)
         db.checkpoint()
-    data = bytearray((path / "MANIFEST").read_bytes())
+    data = bytearray((path / "MANIFEST-1").read_bytes())
     data[-2] ^= 1
     for f in path.glob(".MANIFEST*"):
         f.unlink()
-    (path / "MANIFEST").write_bytes(bytes(data))
+    (path / "MANIFEST-1").write_bytes(bytes(data))
     refused("CORRUPT", lambda: Ledger(spark, str(path)))
-    (path / "MANIFEST").unlink()
+    (path / "MANIFEST-1").unlink()
     with Ledger(spark, str(path)) as db:  # the newest whole snapshot counts
         assert db.get_account("a").balance == 1
+
+
+def test_reopens_after_a_crash(spark, tmp_path):
+    """A ledger that is dropped without close, or whose process has ended, leaves a lock that falls."""
+    path = str(tmp_path / "db")
+    db = Ledger(spark, path)
+    db.create_account("k", "a", "USD", 5)
+    refused("ALREADY_OPEN", lambda: Ledger(spark, path))
+    del db
+    gc.collect()
+    with Ledger(spark, path) as again:
+        assert again.get_account("a").balance == 5
+    ended = subprocess.Popen([sys.executable, "-c", ""])
+    ended.wait()
+    lock = tmp_path / "db" / "LOCK"
+    lock.write_text(json.dumps({"host": socket.gethostname(), "pid": ended.pid, "id": "x"}))
+    Ledger(spark, path).close()
+    lock.write_text(json.dumps({"host": "elsewhere", "pid": 1, "id": "x"}))
+    refused("ALREADY_OPEN", lambda: Ledger(spark, path))
+    os.utime(lock, (time.time() - 3600,) * 2)  # not renewed for an hour
+    db = Ledger(spark, path)
+    lock.write_text(json.dumps({"host": "elsewhere", "pid": 1, "id": "y"}))  # taken by another
+    refused("POISONED", lambda: db.create_account("k2", "b", "USD"))
+    db.close()
+    assert lock.exists()
+
+
+def test_failed_checkpoint_is_tried_again(spark, tmp_path, monkeypatch):
+    with Ledger(spark, str(tmp_path / "db"), Options(checkpoint_every=1)) as db:
+        whole = db._dir.publish
+        monkeypatch.setattr(db._dir, "publish", lambda *a: (_ for _ in ()).throw(OSError("no room")))
+        db.create_account("k", "a", "USD", 5)
+        s = db.stats()
+        assert (s.checkpoint_lsn, s.checkpoint_attempts, s.checkpoint_successes, s.mutations, s.syncs) == (0, 1, 0, 1, 1) and "no room" in s.checkpoint_error
+        monkeypatch.setattr(db._dir, "publish", whole)
+        db.create_account("k2", "b", "USD", 5)
+        s = db.stats()
+        assert s.checkpoint_lsn == 2 and s.checkpoint_error is None and s.last_checkpoint and s.sync_seconds > 0 and s.queue_depth == 0
