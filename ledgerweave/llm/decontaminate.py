@@ -44,9 +44,9 @@ _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tru
 def terms_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, lower-case and without marks around them, and where each text's begin."""
     w = Words(rows, lower=True)
-    mark, at = _PUNCT[w.buf], np.arange(len(w.buf))
-    after = np.minimum.accumulate(np.where(mark, len(at), at)[::-1])[::-1]  # the next byte that isn't a mark
-    before = np.maximum.accumulate(np.where(mark, -1, at))
+    mark, at = _PUNCT[w.buf], np.arange(len(w.buf), dtype=np.int32)
+    after = np.minimum.accumulate(np.where(mark, np.int32(len(at)), at)[::-1])[::-1]  # the next byte that isn't a mark
+    before = np.maximum.accumulate(np.where(mark, np.int32(-1), at))
     s = np.minimum(after[w.starts], w.ends)
     e = np.maximum(before[w.ends - 1] + 1, s)
     w.starts, w.ends = s, e
