@@ -139,6 +139,7 @@ def _sample_rows(batches):
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str = "doc_id", text_col: str = "text", max_train: int = 6000, folds: int = 3) -> Chain:
     """Fit the chain; categories: name -> 0/1 expression over labels, in chain order."""
+    give_back_memory()
     names = list(categories)
     known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), *(F.expr(e).cast("int").alias(f"c{k}") for k, e in enumerate(categories.values())))
     chosen = known.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
