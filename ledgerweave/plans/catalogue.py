@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerweave.functions import encoding, validation
 from ledgerweave.operators import admission, audit, committed, idempotency, numbering, recovery, replay, stats
+from ledgerweave.plans import mixed
 from ledgerweave.plans.schema import DAY_NANOS, MAX_INT64
 from ledgerweave.sources import views, workload
 
@@ -581,14 +582,24 @@ def p2p_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("USD").alias("currency"), F.lit(5_000_000).cast("bigint").alias("balance"), F.lit(0).cast("bigint").alias("reserved"))
 
 
-@query()
+#: One walk over all operations in order: a list of the 25 balances, and after them number and balances of each transfer accepted.
+COUPLED = f"""o as (select seq, key, [seq, cast(substr(from_account, 3) as bigint) + 1, cast(substr(to_account, 3) as bigint) + 1, amount] as x from ({X}) x),
+r as (select list_reduce(list(x order by seq), lambda s, o: case when s[o[2]] < o[4] then s else list_concat(
+  list_transform(s[1:25], lambda v, i: case when i = o[2] then v - o[4] when i = o[3] then v + o[4] else v end), s[26:], [o[1], s[o[2]] - o[4], s[o[3]] + o[4]]) end,
+  list_transform(range(25), lambda i: cast(5000000 as bigint))) as s from o),
+k as (select unnest(range(26, len(s), 3)) as i, s from r),
+done as (select s[i] as seq, s[i + 1] as from_balance, s[i + 2] as to_balance, cast((i - 23) // 3 as bigint) as wal_lsn from k)"""
+_COUPLED_OUT = "o.seq, key, case when d.seq is null then 'INSUFFICIENT_FUNDS' end as error_code, from_balance, to_balance"
+
+
+@query(f"with {COUPLED} select {_COUPLED_OUT}, wal_lsn from o left join done d on d.seq = o.seq")
 def coupled_replay(spark, sf_dir):
-    """Accounts that fund each other; checked against a plain walk over the operations in the tests."""
+    """Accounts that fund each other."""
     out = replay.replay(_transfer_ops(views.p2p(spark, sf_dir)), DAY_NANOS, accounts=p2p_accounts(spark, sf_dir))
     return replay.with_lsn(out).select("seq", "key", "error_code", "wal_lsn", "from_balance", "to_balance")
 
 
-@query()
+@query(f"with {COUPLED} select {_COUPLED_OUT} from o left join done d on d.seq = o.seq")
 def stream_replay(spark, sf_dir):
     """The same as a stream over the orders' file, appended to a table."""
     from ledgerweave.sources.scratch import scratch_path
@@ -618,3 +629,7 @@ def log_round_trip(spark, sf_dir):
         F.to_json(F.struct(F.col("from_account").alias("FromAccount"), F.col("to_account").alias("ToAccount"), F.col("amount").alias("Amount"))).alias("request"), F.lit('{"CommitLSN":1}').alias("result"),
     )
     return decode_segments(encode_segments(records)).select("writer", "lsn", "kind", "key", "fingerprint", "request", "version")
+
+
+QUERIES |= mixed.QUERIES
+SQL |= mixed.SQL
