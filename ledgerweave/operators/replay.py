@@ -118,11 +118,14 @@ class Book:
 def _fold(lease: int):
     nothing = (None,) * 11
 
+    def values(column):
+        return [None] * len(column) if column.null_count == len(column) else column.to_pylist()
+
     def run(batches):
         book, part = None, None
         for batch in batches:
             out = []
-            for p, seq, kind, key, now, account, currency, opening, hold, source, target, amount, error, fp, payload, guest in zip(*(batch.column(k).to_pylist() for k in range(len(_IN)))):
+            for p, seq, kind, key, now, account, currency, opening, hold, source, target, amount, error, fp, payload, guest in zip(*map(values, batch.columns)):
                 if p != part:
                     book, part = Book(lease), p
                 if payload is not None:
@@ -143,29 +146,28 @@ def _fold(lease: int):
 
 
 def groups_of(ops: DataFrame) -> DataFrame:
-    """ops with `part`: the group in which each operation must be judged.
+    """ops with `part`: the group in which each operation must be judged; written to the shared folder, as several passes read it.
 
     An operation's currency is that of its account, or of its hold's source.
     Currencies are few (three letters), so the links between them, each a pair
-    of currencies that share a name, are joined on the driver.
+    of currencies that share a name, are joined on the driver.  Currencies and
+    names are compared by 64-bit hashes: two that fall together join groups
+    that could have been apart, which changes no answer.
     """
     owned = ops.where("kind in ('create_account', '=account')").groupBy(F.col("account_id").alias("_id")).agg(F.min("currency").alias("_currency"))
     held = ops.where("kind in ('reserve', '=hold')").groupBy(F.col("hold_id").alias("_hold")).agg(F.min("from_account").alias("_source"))
     out = ops.join(held, ops["hold_id"] == held["_hold"], "left")
     source = F.coalesce(F.col("from_account"), F.col("_source"))
     out = out.withColumn("_source", source).join(owned, F.col("_source") == F.col("_id"), "left")
-    out = out.withColumn("_label", F.coalesce(F.when(F.col("account_id").isNotNull(), F.col("currency")), "_currency", F.lit(""))).drop("_hold", "_source", "_id", "_currency")
-    names = out.select(
-        "_label",
-        F.explode(F.array_compact(F.array(
-            F.when(F.col("key").isNotNull(), F.concat(F.lit("k:"), "key")), F.when(F.col("hold_id").isNotNull(), F.concat(F.lit("h:"), "hold_id")),
-            *(F.when(F.col(c).isNotNull(), F.concat(F.lit("a:"), c)) for c in ("account_id", "from_account", "to_account")),
-        ))).alias("name"),
-    )
+    label = F.coalesce(F.when(F.col("account_id").isNotNull(), F.col("currency")), "_currency", F.lit(""))
+    out = _written(out.withColumn("_label", F.xxhash64(label)).drop("_hold", "_source", "_id", "_currency"), "operations")
     # an account that is only named by others brings no state of theirs along unless money may move: same currency
-    spread = names.where("name not like 'a:%'").unionAll(out.where("account_id is not null").select("_label", F.concat(F.lit("a:"), "account_id").alias("name")))
-    low = spread.groupBy("name").agg(F.min("_label").alias("low"), F.collect_set("_label").alias("all")).where("size(all) > 1")
-    pairs = low.select("low", F.explode("all").alias("other")).distinct().collect()  # at most one row per pair of currencies
+    name = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), c))
+    names = out.select("_label", F.explode(F.array_compact(F.array(name("key"), name("hold_id"), name("account_id")))).alias("name"))
+    shared = names.groupBy("name").agg(F.min("_label").alias("low"), F.max("_label").alias("high")).where("low < high")
+    pairs = shared.select("low", "high").distinct().collect()  # at most one row per pair of currencies
+    if pairs:  # and those between the two
+        pairs = names.join(shared, "name").select("low", "_label").distinct().collect()
     root: dict = {}
 
     def find(x):
@@ -177,8 +179,9 @@ def groups_of(ops: DataFrame) -> DataFrame:
         a, b = sorted((find(a), find(b)))
         root[b] = a
     part = F.col("_label")
-    for x in sorted(root):
-        part = F.when(F.col("_label") == x, find(x)).otherwise(part)
+    moved = {x: find(x) for x in root if find(x) != x}
+    if moved:
+        part = F.coalesce(F.create_map(*(F.lit(v).cast("long") for kv in sorted(moved.items()) for v in kv))[F.col("_label")], part)
     return out.withColumn("part", part).drop("_label")
 
 
@@ -216,11 +219,16 @@ def replay(ops: DataFrame, lease: int, accounts: DataFrame | None = None, holds:
     return placed.select(*_IN).mapInArrow(_fold(lease), FOLD)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder: what it took isn't done again by each pass, nor after a lost executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_lsn(outcomes: DataFrame, base_lsn: int = 0) -> DataFrame:
     """outcomes with wal_lsn and commit_lsn instead of logged and commit_seq; written to the shared folder, so that the fold runs once."""
-    path = scratch_path(outcomes.sparkSession, "outcomes")
-    outcomes.write.parquet(path)
-    outcomes = outcomes.sparkSession.read.schema(outcomes.schema).parquet(path)
+    outcomes = _written(outcomes, "outcomes")
     logged = assign_lsn(outcomes.where("logged").select("seq")).select("seq", (F.col("lsn") + base_lsn).alias("wal_lsn"))
     out = outcomes.join(logged, "seq", "left")
     origin = logged.toDF("commit_seq", "_commit")
