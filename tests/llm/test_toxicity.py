@@ -45,3 +45,26 @@ def test_later_models_use_earlier_probabilities():
     y = (r.random(n) < 0.5).astype(float)
     m = t.fit(np.arange(n), r.integers(0, 50, n).astype(np.uint32), y, (0.8 * y + 0.1)[:, None])
     assert m.chain[0] > 1
+
+
+def test_scores_against_a_plain_walk(spark):
+    docs, labels = corpus(2, 400)
+    docs += [(900, None, "x"), (901, "", "x"), (902, "moron, " * 40000, "x"), docs[3]]
+    df = spark.createDataFrame(docs, "doc_id long, text string, p_toxic string").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = t.train(df, lab, t.CATEGORIES)
+    models = [(dict(zip(m.ids.tolist(), m.weights.tolist())), m.bias, m.chain.tolist()) for m in chain.models]
+    assert models[1][2] and all(w for w, _, _ in models)
+
+    def walk(text):
+        found = set(t.features([text.encode()])[1].tolist()) if text else set()
+        probabilities = []
+        for weights, bias, earlier in models:
+            s = min(30, max(-30, bias + sum(weights.get(f, 0.0) for f in found) + sum(a * p for a, p in zip(earlier, probabilities))))
+            probabilities.append(1 / (1 + np.exp(-s)))
+        return probabilities
+
+    want = sorted((i, *walk(text)) for i, text, _ in docs)
+    got = sorted((x.doc_id, x.p_low_quality, x.p_toxic) for x in t.toxicity(df, lab).collect())
+    assert len(got) == len(want)
+    assert all(a[0] == b[0] and np.allclose(a[1:], b[1:], atol=1e-5) for a, b in zip(got, want))
