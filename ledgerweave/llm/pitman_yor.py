@@ -344,6 +344,13 @@ def _sums(df: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _let_go(spark) -> None:
+    """Lets Spark delete the shuffle files of what is written, before the next shuffle writes its own."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def upward(met: DataFrame, n: int, d: float, theta: float, burn: int, keep: int, seed: int) -> tuple[DataFrame, np.ndarray]:
     """INFOS rows (count, mean customers and mean tables in the parent of the words of each entry) and the global sums.
 
@@ -364,6 +371,8 @@ def upward(met: DataFrame, n: int, d: float, theta: float, burn: int, keep: int,
         for x in old:
             x.drop()
         old = [stored]
+        del rows
+        _let_go(met.sparkSession)
     return last.where(F.col("kind") == INFOS), np.array([tokens, known, customers, tables])
 
 
@@ -500,9 +509,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("_id"), (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds != 0).alias("train"), F.col(text_col).alias("_text"))
     met = rows.mapInArrow(_send(n), ROW).groupBy("bucket").applyInArrow(_by_word(n), ROW)
     met = Stored(met, "word-pairs").df
-    for _ in range(2):  # lets Spark drop the shuffle files of the first meeting before the second one writes its own
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    _let_go(spark)
     infos, totals = upward(met, n, discount, strength, burn, keep, seed)
     parts = met.where(F.col("kind") == ENTRIES).unionAll(infos).groupBy("bucket").applyInArrow(_by_context(totals, discount, strength, burn, keep, seed), ROW)
     out = parts.unionAll(met.where(F.col("kind") == DOCS)).groupBy("flush").applyInArrow(
