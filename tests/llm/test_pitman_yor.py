@@ -1,7 +1,7 @@
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
@@ -134,3 +134,109 @@ def test_scores_are_equal_however_rows_are_partitioned(spark, monkeypatch):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1] and len(got[0]) == 90
+
+
+def join(tables, fresh, r):
+    """Seats a customer; whether the table is new."""
+    x = r.random() * (sum(tables) - D * len(tables) + fresh)
+    for k, size in enumerate(tables):
+        x -= size - D
+        if x < 0:
+            tables[k] += 1
+            return False
+    tables.append(1)
+    return True
+
+
+def leave(tables, r):
+    """Sends a customer away; whether the table is gone."""
+    k = r.choices(range(len(tables)), tables)[0]
+    tables[k] -= 1
+    if tables[k]:
+        return False
+    tables.pop(k)
+    return True
+
+
+D, THETA = 0.8, 1.0
+
+
+class Walk:
+    """Gibbs over whole seatings: one customer at a time leaves its table, and its table's customer the parent, and sits down again."""
+
+    def __init__(self, rows, seed):
+        self.r = random.Random(seed)
+        texts = [tokens(t) for i, t in rows if fold(i)]
+        self.pairs = [p for t in texts for p in zip(["\0start", *t], t)]
+        self.known = len({w for _, w in self.pairs})
+        self.tables, self.top = defaultdict(list), defaultdict(list)
+        self.customers, self.n_tables = Counter(), Counter()
+        self.top_customers = self.top_tables = 0
+        for u, w in self.pairs:
+            self.sit(u, w)
+
+    def parent(self, w):
+        x = self.top.get(w, ())
+        return (sum(x) - D * len(x) + (THETA + D * self.top_tables) / (self.known + 1)) / (THETA + self.top_customers)
+
+    def p(self, u, w):
+        x = self.tables.get((u, w), ())
+        return (sum(x) - D * len(x) + (THETA + D * self.n_tables[u]) * self.parent(w)) / (THETA + self.customers[u])
+
+    def sit(self, u, w):
+        new = join(self.tables[u, w], (THETA + D * self.n_tables[u]) * self.parent(w), self.r)
+        self.customers[u] += 1
+        if new:
+            self.n_tables[u] += 1
+            self.top_tables += join(self.top[w], (THETA + D * self.top_tables) / (self.known + 1), self.r)
+            self.top_customers += 1
+
+    def stand(self, u, w):
+        self.customers[u] -= 1
+        if leave(self.tables[u, w], self.r):
+            self.n_tables[u] -= 1
+            self.top_customers -= 1
+            self.top_tables -= leave(self.top[w], self.r)
+
+    def sweep(self):
+        for u, w in self.pairs:
+            self.stand(u, w)
+            self.sit(u, w)
+
+
+def test_scores_follow_a_walk_over_whole_seatings(spark):
+    """The whole score against seatings of every customer, in contexts and their parent."""
+    r = random.Random(4)
+    rows = []
+    for i in range(60):
+        at, out = 0, []
+        for _ in range(r.randrange(25)):
+            at = (at * 5 + 1) % 12 if r.random() < 0.6 else min(r.randrange(12), r.randrange(12))
+            out.append(f"w{at}")
+        rows.append((i, " ".join(out)))
+    rows += [(100, "w1 unknown w2"), (101, None), (102, "w3 w4 " * 20)]
+    walk, sums = Walk(rows, 1), Counter()
+    wanted = {p for _, t in rows for p in zip(["\0start", *tokens(t)], tokens(t))}
+    for k in range(240):
+        walk.sweep()
+        if k >= 40:
+            for p in wanted:
+                sums[p] += walk.p(*p) / 200
+    seen = Counter(walk.pairs)
+    total, kinds = Counter(u for u, _ in walk.pairs), Counter(u for u, _ in seen)
+    met = Counter(w for _, w in seen)
+
+    def one_table(u, w):
+        """Without Gibbs: a table for each pair, and one in the parent for each word."""
+        parent = (met[w] - D * (w in met) + (THETA + D * len(met)) / (len(met) + 1)) / (THETA + len(seen))
+        return (seen[u, w] - D * ((u, w) in seen) + (THETA + D * kinds[u]) * parent) / (THETA + total[u])
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.score for x in py.score_texts(df, burn=4, keep=10).collect()}
+    far, simple = [], []
+    for i, t in rows:
+        pairs = list(zip(["\0start", *tokens(t)], tokens(t)))
+        want = sum(log10(sums[p]) for p in pairs)
+        far.append(abs(got[i] - want) / len(pairs))
+        simple.append(abs(sum(log10(one_table(*p)) for p in pairs) - want) / len(pairs))
+    assert np.mean(far) < 0.01 and np.mean(far) < 0.3 * np.mean(simple), (np.mean(far), np.mean(simple))
