@@ -20,13 +20,14 @@ def reserve_admission(reserves: DataFrame, accounts: DataFrame) -> DataFrame:
     among the accounts gives no rows.
     """
 
-    def step(left: list, opening: int, amount: int):
+    def step(left: list, amount: int):
         ok = left[0] >= amount
         left[0] -= amount if ok else 0
         return amount, ok
 
-    known = reserves.select("from_account", "seq", F.col("amount").alias("_amount")).join(accounts.select(F.col("id").alias("from_account"), F.col("opening").alias("_opening")), "from_account")
-    return sequential.fold(known, "from_account", "seq", ["_opening", "_amount"], "amount bigint, accepted boolean", lambda opening, _: [opening], step)
+    rows = reserves.select("from_account", "seq", F.col("amount").alias("_amount"))
+    opening = accounts.select(F.col("id").alias("from_account"), F.col("opening").alias("_amount"))
+    return sequential.fold(rows, "from_account", "seq", ["_amount"], "amount bigint, accepted boolean", lambda opening: [opening], step, opening)
 
 
 def lifecycle(holds: DataFrame, terminals: DataFrame) -> DataFrame:

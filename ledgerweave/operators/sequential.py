@@ -9,33 +9,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def fold(df: DataFrame, key: str, order: str, columns: list[str], out: str, start: Callable, step: Callable) -> DataFrame:
+def fold(df: DataFrame, key: str, order: str, columns: list[str], out: str, start: Callable, step: Callable, opening: DataFrame | None = None) -> DataFrame:
     """key, order and the columns of `out` for every row.
 
     start(first row's values) gives a key's state; step(state, values) changes
     it and returns the row's values of `out`.  values are those of `columns`.
+    opening(key, ...): a key's state is that of its row there, which comes first
+    and gives no row itself, and a key without one gives none; so state is
+    loaded in the same exchange, without a join.
     """
     kept = df.select(key, order, *[c for c in columns if c not in (key, order)])
+    sort = [key, order]
+    if opening is not None:
+        kept = kept.withColumn("_opens", F.lit(False)).unionByName(opening.withColumn("_opens", F.lit(True)), allowMissingColumns=True)
+        sort = [key, F.desc("_opens"), order]
     given, new = kept.select(key, order).schema, StructType.fromDDL(out)
     schema = StructType([*given.fields, *new.fields])
     arrow = to_arrow_schema(schema)
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    loads = opening is not None
+
+    def made(keys, orders, rows):
+        cols = list(zip(*rows)) or [()] * len(new.fields)
+        return pa.record_batch([keys, orders, *(pa.array(c, arrow.field(i + 2).type) for i, c in enumerate(cols))], schema=arrow)
 
     def run(batches):
         last, state, begun = None, None, False
         for batch in batches:
             rows = []
             keys, orders = batch.column(key), batch.column(order)
+            if loads:
+                own = []
+                for k, opens, *values in zip(keys.to_pylist(), batch.column("_opens").to_pylist(), *(batch.column(c).to_pylist() for c in columns)):
+                    if opens:
+                        last, state, begun = k, start(*values), True
+                    own.append(not opens and begun and k == last)
+                    if own[-1]:
+                        rows.append(step(state, *values))
+                mask = pa.array(own, pa.bool_())
+                yield made(keys.filter(mask), orders.filter(mask), rows)
+                continue
             for k, *values in zip(keys.to_pylist(), *(batch.column(c).to_pylist() for c in columns)):
                 if not begun or k != last:
                     last, state, begun = k, start(*values), True
                 rows.append(step(state, *values))
-            cols = list(zip(*rows)) or [()] * len(new.fields)
-            yield pa.record_batch([keys, orders, *(pa.array(c, arrow.field(i + 2).type) for i, c in enumerate(cols))], schema=arrow)
+            yield made(keys, orders, rows)
 
-    return kept.repartition(n, key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+    return kept.repartition(n, key).sortWithinPartitions(*sort).mapInArrow(run, schema)
