@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -106,10 +107,12 @@ def _decode(batches):
                 yield pa.record_batch([pa.array(c, _ARROW[t]) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
 
-def encode_segments(records: DataFrame) -> DataFrame:
+def encode_segments(records: DataFrame, written_out: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """writer, segment, content: the records (writer, segment, lsn, kind, committed_at, key, fingerprint, request, result) of each segment, framed in order.
 
     Rows are sorted within their task, so a segment of bytes is all that is held.
+    written_out makes those columns of records(writer, segment, lsn, ...) where
+    they have been placed, so that what can be derived doesn't cross the network.
     """
     names = ["writer", "segment", "lsn", "kind", "committed_at", "key", "fingerprint", "request", "result"]
     n = max(2, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -129,8 +132,9 @@ def encode_segments(records: DataFrame) -> DataFrame:
         if frames:
             yield done(at, frames)
 
-    placed = records.select(*names).repartition(n, "writer", "segment").sortWithinPartitions("writer", "segment", "lsn")
-    return placed.mapInArrow(run, "writer string, segment bigint, content binary")
+    records = records if written_out else records.select(*names)
+    placed = records.repartition(n, "writer", "segment").sortWithinPartitions("writer", "segment", "lsn")
+    return (written_out(placed) if written_out else placed).select(*names).mapInArrow(run, "writer string, segment bigint, content binary")
 
 
 def decode_segments(segments: DataFrame) -> DataFrame:
