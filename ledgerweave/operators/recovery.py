@@ -30,13 +30,12 @@ def old_images(records: DataFrame) -> DataFrame:
 
     A transfer's record has no currency: it is null here, and `recover_accounts` keeps that of the creation.
     """
-    zero = F.lit(0).cast("long").alias("reserved")
-    made = records.where("kind = 'create_account'").select(F.col("result.account_id").alias("id"), F.col("result.currency").alias("currency"), F.col("result.balance").alias("balance"), zero, "lsn")
-    moved = records.where("kind = 'transfer'")
-    none = F.lit(None).cast("string").alias("currency")
-    debit = moved.select(F.col("request.from_account").alias("id"), none, F.col("result.from_balance").alias("balance"), zero, "lsn")
-    credit = moved.select(F.col("request.to_account").alias("id"), none, F.col("result.to_balance").alias("balance"), zero, "lsn")
-    return made.unionAll(debit).unionAll(credit)
+    side = lambda account, currency, balance: F.struct(F.col(account).alias("id"), currency.alias("currency"), F.col(balance).alias("balance"))
+    none = F.lit(None).cast("string")
+    made = F.array(side("result.account_id", F.col("result.currency"), "result.balance"))
+    moved = F.array(side("request.from_account", none, "result.from_balance"), side("request.to_account", none, "result.to_balance"))
+    sides = records.select("lsn", F.inline(F.when(F.col("kind") == "create_account", made).when(F.col("kind") == "transfer", moved)))
+    return sides.select("id", "currency", "balance", F.lit(0).cast("long").alias("reserved"), "lsn")
 
 
 def recover_accounts(images: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
