@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def entries(transfers: DataFrame, order: str) -> DataFrame:
+    """id, order, delta, debit: a debit and a credit per transfer, from one reading of them."""
+    side = lambda account, delta, debit: F.struct(F.col(account).alias("id"), F.col(order), delta.alias("delta"), F.lit(debit).alias("debit"))
+    return transfers.select(F.inline(F.array(side("from_account", -F.col("amount"), True), side("to_account", F.col("amount"), False))))
+
+
 def postings(accounts: DataFrame, transfers: DataFrame) -> DataFrame:
     """id, seq, delta, moved: the opening balance (seq 0) and a debit and a credit per transfer."""
-    return (
-        accounts.select("id", F.lit(0).cast("long").alias("seq"), F.col("opening").alias("delta"), F.lit(0).alias("moved"))
-        .unionAll(transfers.select("from_account", "seq", -F.col("amount"), F.lit(1)))
-        .unionAll(transfers.select("to_account", "seq", "amount", F.lit(1)))
-    )
+    opened = accounts.select("id", F.lit(0).cast("long").alias("seq"), F.col("opening").alias("delta"), F.lit(0).alias("moved"))
+    return opened.unionAll(entries(transfers, "seq").select("id", "seq", "delta", F.lit(1)))
 
 
 def same_currency(payments: DataFrame, accounts: DataFrame, how: str = "inner") -> DataFrame:
@@ -23,6 +26,8 @@ def same_currency(payments: DataFrame, accounts: DataFrame, how: str = "inner")
 
 def balances(accounts: DataFrame, transfers: DataFrame) -> DataFrame:
     """id, balance, entries."""
+    if "seq" not in transfers.columns:
+        transfers = transfers.withColumn("seq", F.lit(None).cast("long"))
     return postings(accounts, transfers).groupBy("id").agg(F.sum("delta").alias("balance"), F.sum("moved").alias("entries"))
 
 
@@ -46,8 +51,9 @@ def conservation(accounts: DataFrame, states: DataFrame) -> DataFrame:
 
 def always_affordable(accounts: DataFrame, transfers: DataFrame) -> DataFrame:
     """id, opening, debits, credits, proven: whether every debit of the account is affordable, and every credit fits, in any order."""
-    out = transfers.groupBy(F.col("from_account").alias("id")).agg(F.sum(F.col("amount").cast("decimal(38,0)")).alias("debits"))
-    into = transfers.groupBy(F.col("to_account").alias("id")).agg(F.sum(F.col("amount").cast("decimal(38,0)")).alias("credits"))
+    side = lambda account, debit, credit: F.struct(F.col(account).alias("id"), debit.cast("decimal(38,0)").alias("debit"), credit.cast("decimal(38,0)").alias("credit"))
+    sides = transfers.select(F.inline(F.array(side("from_account", F.col("amount"), F.lit(None)), side("to_account", F.lit(None), F.col("amount")))))
+    sums = sides.groupBy("id").agg(F.sum("debit").alias("debits"), F.sum("credit").alias("credits"))
     zero = F.lit(0).cast("decimal(38,0)")
-    both = accounts.join(out, "id", "left").join(into, "id", "left").select("id", "opening", F.coalesce("debits", zero).alias("debits"), F.coalesce("credits", zero).alias("credits"))
+    both = accounts.join(sums, "id", "left").select("id", "opening", F.coalesce("debits", zero).alias("debits"), F.coalesce("credits", zero).alias("credits"))
     return both.withColumn("proven", (F.col("opening") - F.col("debits") >= 0) & (F.col("opening") + F.col("credits") <= F.lit(2**63 - 1)))
