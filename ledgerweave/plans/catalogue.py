@@ -41,14 +41,17 @@ OK = f"a as ({A}), p as ({P}), ok as (select p.* from p join a f on f.id = p.fro
 ENTRIES = "entries as (select id, cast(0 as bigint) as seq, opening as delta, 0 as moved from a union all select from_account, seq, -amount, 1 from ok union all select to_account, seq, amount, 1 from ok)"
 
 
-def _ok(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    a = views.accounts(spark, sf_dir)
-    return a, committed.same_currency(views.payments(spark, sf_dir), a)
+_MOVED = ("from_account", "to_account", "amount")
+
+
+def _ok(spark: SparkSession, sf_dir: str, numbered: bool = True) -> tuple[DataFrame, DataFrame]:
+    ok = views.committed(spark, sf_dir, *_MOVED, numbered=numbered)
+    return views.accounts(spark, sf_dir), ok.drop("lsn")
 
 
 @query(f"with {OK}, {ENTRIES} select id, cast(sum(delta) as bigint) as balance, cast(sum(moved) as bigint) as entries from entries group by id")
 def account_statement(spark, sf_dir):
-    return committed.balances(*_ok(spark, sf_dir))
+    return committed.balances(*_ok(spark, sf_dir, numbered=False))
 
 
 @query(f"with s as ({views.STATES}) select *, balance - reserved as available from s where id = 'c:7'")
@@ -106,7 +109,7 @@ select seq, case when f.id is null or t.id is null then 'ACCOUNT_NOT_FOUND' when
 from p left join a f on f.id = p.from_account left join a t on t.id = p.to_account
 """)
 def pair_check(spark, sf_dir):
-    pairs = committed.same_currency(views.payments(spark, sf_dir), views.accounts(spark, sf_dir), "left")
+    pairs = committed.same_currency(views.payments(spark, sf_dir, "from_account", "to_account"), views.accounts(spark, sf_dir), "left")
     return pairs.select("seq", validation.pair_error(F.col("from_currency"), F.col("to_currency")).alias("error_code"))
 
 
@@ -117,7 +120,7 @@ from p join s f on f.id = p.from_account join s t on t.id = p.to_account
 """)
 def funds_check(spark, sf_dir):
     s = views.states(spark, sf_dir)
-    rows = views.payments(spark, sf_dir).join(s.select(F.col("id").alias("from_account"), "balance", "reserved"), "from_account").join(s.select(F.col("id").alias("to_account"), F.col("balance").alias("to_balance")), "to_account")
+    rows = views.payments(spark, sf_dir, *_MOVED).join(s.select(F.col("id").alias("from_account"), "balance", "reserved"), "from_account").join(s.select(F.col("id").alias("to_account"), F.col("balance").alias("to_balance")), "to_account")
     return rows.select("seq", validation.funds_error(F.col("balance"), F.col("reserved"), F.col("to_balance"), F.col("amount")).alias("error_code"))
 
 
@@ -135,7 +138,7 @@ RETRIED = f"""p as ({P}), r as (
 
 
 def _retried(spark, sf_dir):
-    p = views.payments(spark, sf_dir).select("seq", "key", "from_account", "to_account", "amount")
+    p = views.payments(spark, sf_dir, "key", *_MOVED)
     again = p.where("seq % 10 = 0").crossJoin(F.broadcast(p.agg(F.max("seq").alias("top"))))  # one row
     return p.unionAll(again.select(F.col("seq") + F.col("top"), "key", "from_account", "to_account", F.col("amount") + F.expr("if(seq % 70 = 0, 1, 0)")))
 
@@ -164,7 +167,7 @@ def idempotency_winners(spark, sf_dir):
 
 @query(f"with p as ({P}) select seq, sha256('transfer' || chr(0) || {_JSON}) as fingerprint from p")
 def request_fingerprint(spark, sf_dir):
-    return _with_fingerprint(views.payments(spark, sf_dir)).select("seq", "fingerprint")
+    return _with_fingerprint(views.payments(spark, sf_dir, *_MOVED)).select("seq", "fingerprint")
 
 
 @query(f"""
@@ -241,18 +244,18 @@ def balance_as_of(spark, sf_dir):
 
 @query(f"with {OK}, b as (select id, sum(delta) as delta from (select from_account as id, -amount as delta from ok union all select to_account, amount from ok) x group by id) select a.id, a.currency, cast(opening + coalesce(delta, 0) as bigint) as balance from a left join b on b.id = a.id")
 def committed_balances(spark, sf_dir):
-    a, ok = _ok(spark, sf_dir)
+    a, ok = _ok(spark, sf_dir, numbered=False)
     return committed.balances(a, ok).join(a.select("id", "currency"), "id").select("id", "currency", "balance")
 
 
 @query(f"with {OK} select seq, cast(row_number() over (order by seq) as bigint) as lsn from ok")
 def lsn_assignment(spark, sf_dir):
-    return _big(numbering.assign_lsn(_ok(spark, sf_dir)[1].select("seq")), "lsn").select("seq", "lsn")
+    return views.committed(spark, sf_dir).select("seq", "lsn")
 
 
-def _log(spark, sf_dir):
-    a, ok = _ok(spark, sf_dir)
-    return a, _big(numbering.assign_lsn(ok.select("seq", "key", "from_account", "to_account", "amount", F.col("from_currency").alias("currency"))), "lsn")
+def _log(spark, sf_dir, *columns):
+    """The committed payments' log: lsn and columns."""
+    return views.committed(spark, sf_dir, *columns).drop("seq")
 
 
 LOG = f"{OK}, log as (select ok.seq, key, from_account, to_account, amount, a.currency, cast(row_number() over (order by seq) as bigint) as lsn from ok join a on a.id = ok.from_account)"
@@ -260,30 +263,29 @@ LOG = f"{OK}, log as (select ok.seq, key, from_account, to_account, amount, a.cu
 
 @query(f"with {LOG} select cast(floor((lsn - 1) / 64) as bigint) as batch, count(*) as records, min(lsn) as first_lsn, max(lsn) as last_lsn from log group by 1")
 def group_commit_batches(spark, sf_dir):
-    return numbering.commit_batches(_log(spark, sf_dir)[1], 64).groupBy("batch").agg(F.count("*").alias("records"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))
+    return numbering.commit_batches(_log(spark, sf_dir), 64).groupBy("batch").agg(F.count("*").alias("records"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))
 
 
 @query(f"with {LOG} select count(*) / cast(count(distinct floor((lsn - 1) / 64)) as double) as average_batch_size from log")
 def average_batch_size(spark, sf_dir):
-    return stats.average_batch(numbering.commit_batches(_log(spark, sf_dir)[1], 64))
+    return stats.average_batch(numbering.commit_batches(_log(spark, sf_dir), 64))
 
 
 @query(f"with {LOG} select cast(lsn / 500 as bigint) as checkpoint, lsn as base_lsn from log where lsn % 500 = 0")
 def checkpoints_due(spark, sf_dir):
-    return numbering.checkpoints_due(_log(spark, sf_dir)[1].select("lsn"), 500)
+    return numbering.checkpoints_due(_log(spark, sf_dir), 500)
 
 
 def _images(spark, sf_dir):
-    a, log = _log(spark, sf_dir)
-    entries = log.select(F.col("from_account").alias("id"), "lsn", (-F.col("amount")).alias("delta")).unionAll(log.select("to_account", "lsn", "amount"))
+    a, log = views.accounts(spark, sf_dir), _log(spark, sf_dir, *_MOVED)
     w = Window.partitionBy("id").orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0)
-    run = entries.withColumn("delta", F.sum("delta").over(w)).join(a, "id")
-    return a, run.select("id", "currency", (F.col("opening") + F.col("delta")).alias("balance"), F.lit(0).cast("bigint").alias("reserved"), "lsn")
+    run = committed.entries(log, "lsn").withColumn("delta", F.sum("delta").over(w)).join(a, "id")
+    return a, run.select("id", "currency", (F.col("opening") + F.col("delta")).alias("balance"), F.lit(0).cast("bigint").alias("reserved"), "lsn", "debit")
 
 
 def log_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account post-images of the committed payments' log."""
-    return _images(spark, sf_dir)[1]
+    return _images(spark, sf_dir)[1].drop("debit")
 
 
 IMAGES = f"{LOG}, e as (select from_account as id, lsn, -amount as delta from log union all select to_account, lsn, amount from log), images as (select e.id, currency, cast(opening + sum(delta) over (partition by e.id order by lsn rows unbounded preceding) as bigint) as balance, cast(0 as bigint) as reserved, lsn from e join a on a.id = e.id)"
@@ -308,9 +310,7 @@ select id, max(currency) as currency, arg_max(balance, lsn) as balance, arg_max(
 def recover_old_records(spark, sf_dir):
     """Records without post-images: a creation's account, and each side of a transfer by itself."""
     a, images = _images(spark, sf_dir)
-    log = _log(spark, sf_dir)[1]
-    side = images.select("id", "lsn", "balance")
-    moved = log.join(side.toDF("from_account", "lsn", "fb"), ["from_account", "lsn"]).join(side.toDF("to_account", "lsn", "tb"), ["to_account", "lsn"])
+    moved = images.where("debit").select("lsn", F.col("id").alias("from_account"), F.col("balance").alias("fb")).join(images.where("not debit").select("lsn", F.col("id").alias("to_account"), F.col("balance").alias("tb")), "lsn")
     null = F.lit(None).cast("string")
     request = F.struct(F.col("from_account"), F.col("to_account"))
     rows = moved.select("lsn", F.lit("transfer").alias("kind"), request.alias("request"), F.struct(null.alias("account_id"), null.alias("currency"), F.lit(None).cast("bigint").alias("balance"), F.col("fb").alias("from_balance"), F.col("tb").alias("to_balance")).alias("result"))
@@ -339,7 +339,7 @@ select lsn, before from p2 where before >= lsn
 """)
 def wal_monotonic_check(spark, sf_dir):
     """A damaged log: every 250th record has a number that was given before, also where a segment begins."""
-    log = _log(spark, sf_dir)[1].select("lsn", F.floor(F.col("lsn") / 1000).alias("segment"), F.col("lsn").alias("position"))
+    log = _log(spark, sf_dir).select("lsn", F.floor(F.col("lsn") / 1000).alias("segment"), F.col("lsn").alias("position"))
     log = log.withColumn("lsn", F.when(F.col("lsn") % 250 == 0, F.col("lsn") - 3).otherwise(F.col("lsn")))
     return recovery.log_breaks(log).select("lsn", "before")
 
@@ -359,7 +359,7 @@ select writer, lsn, size, segment from w
 """)
 def segment_rotation(spark, sf_dir):
     """A log per currency in segments of 20,000 bytes."""
-    log = _log(spark, sf_dir)[1]
+    log = _log(spark, sf_dir, *_MOVED, "currency")
     return recovery.segments(log.select(F.col("currency").alias("writer"), "lsn", F.expr(f"cast(16 + octet_length({_JSON}) as bigint)").alias("size")), 20000)
 
 
@@ -368,13 +368,13 @@ with {LOG}, s as (select lsn, cast(floor(lsn / 1000) as bigint) as segment from
 select segment, last_lsn, records from g where segment < (select max(segment) from g) and last_lsn <= 7500
 """)
 def compaction_plan(spark, sf_dir):
-    log = _log(spark, sf_dir)[1].select("lsn", F.floor(F.col("lsn") / 1000).alias("segment"))
+    log = _log(spark, sf_dir).select("lsn", F.floor(F.col("lsn") / 1000).alias("segment"))
     return recovery.compactable(log, 7500)
 
 
 @query(f"with {LOG} select lsn, lpad(cast(lsn as varchar), 20, '0') || '.wal' as segment, 'checkpoint-' || lpad(cast(lsn as varchar), 20, '0') || '.ckpt' as checkpoint, lsn as number, cast(null as bigint) as none from log")
 def file_names(spark, sf_dir):
-    log = _log(spark, sf_dir)[1].select("lsn", encoding.segment_name(F.col("lsn")).alias("segment"), encoding.checkpoint_name(F.col("lsn")).alias("checkpoint"))
+    log = _log(spark, sf_dir).select("lsn", encoding.segment_name(F.col("lsn")).alias("segment"), encoding.checkpoint_name(F.col("lsn")).alias("checkpoint"))
     return log.withColumn("number", encoding.number_of(F.col("segment"))).withColumn("none", encoding.number_of(F.concat(F.lit("x"), F.col("segment"))))
 
 
@@ -483,7 +483,7 @@ with {OK}, {ENTRIES}, b as (select id, sum(delta) as balance from entries group
 select a.currency, cast(sum(opening) as bigint) as opened, cast(sum(balance) as bigint) as held, sum(opening) = sum(balance) as conserved from a join b on b.id = a.id group by a.currency
 """)
 def conservation(spark, sf_dir):
-    a, ok = _ok(spark, sf_dir)
+    a, ok = _ok(spark, sf_dir, numbered=False)
     return committed.conservation(a, committed.balances(a, ok))
 
 
@@ -493,7 +493,7 @@ select a.id, opening, cast(coalesce(debits, 0) as decimal(38,0)) as debits, cast
 from a left join o on o.id = a.id left join i on i.id = a.id
 """)
 def no_reject_proof(spark, sf_dir):
-    return committed.always_affordable(*_ok(spark, sf_dir))
+    return committed.always_affordable(*_ok(spark, sf_dir, numbered=False))
 
 
 @query(f"""
@@ -574,7 +574,7 @@ from c left join w on w.seq = c.seq
 def replay_payments(spark, sf_dir):
     """The full fold over all payments, each under a key of its own."""
     a = views.accounts(spark, sf_dir).select("id", "currency", F.col("opening").alias("balance"), F.lit(0).cast("bigint").alias("reserved"))
-    ops = _transfer_ops(views.payments(spark, sf_dir).withColumn("key", F.concat(F.lit("p:"), F.col("seq").cast("string"))))
+    ops = _transfer_ops(views.payments(spark, sf_dir, *_MOVED).withColumn("key", F.concat(F.lit("p:"), F.col("seq").cast("string"))))
     return replay.replay(ops, DAY_NANOS, accounts=a).select("seq", "error_code", "from_balance")
 
 
@@ -623,12 +623,15 @@ def log_round_trip(spark, sf_dir):
     """The committed log framed into segments of bytes, a log per currency, and decoded again."""
     from ledgerweave.sources.log_files import decode_segments, encode_segments
 
-    log = _with_fingerprint(_log(spark, sf_dir)[1])
-    records = log.select(
-        F.col("currency").alias("writer"), F.floor(F.col("lsn") / 500).alias("segment"), "lsn", F.lit("transfer").alias("kind"), F.lit(1).cast("bigint").alias("committed_at"), "key", "fingerprint",
-        F.to_json(F.struct(F.col("from_account").alias("FromAccount"), F.col("to_account").alias("ToAccount"), F.col("amount").alias("Amount"))).alias("request"), F.lit('{"CommitLSN":1}').alias("result"),
-    )
-    return decode_segments(encode_segments(records)).select("writer", "lsn", "kind", "key", "fingerprint", "request", "version")
+    log = _log(spark, sf_dir, "key", *_MOVED, "currency").withColumnRenamed("currency", "writer").withColumn("segment", F.floor(F.col("lsn") / 500))
+
+    def written_out(rows):
+        return _with_fingerprint(rows).select(
+            "writer", "segment", "lsn", F.lit("transfer").alias("kind"), F.lit(1).cast("bigint").alias("committed_at"), "key", "fingerprint",
+            F.to_json(F.struct(F.col("from_account").alias("FromAccount"), F.col("to_account").alias("ToAccount"), F.col("amount").alias("Amount"))).alias("request"), F.lit('{"CommitLSN":1}').alias("result"),
+        )
+
+    return decode_segments(encode_segments(log, written_out)).select("writer", "lsn", "kind", "key", "fingerprint", "request", "version")
 
 
 QUERIES |= mixed.QUERIES
