@@ -603,7 +603,7 @@ def coupled_replay(spark, sf_dir):
 def stream_replay(spark, sf_dir):
     """The same as a stream over the orders' file, appended to a table."""
     from ledgerweave.sources.scratch import scratch_path
-    from ledgerweave.streaming.replay import stream_replay as streamed
+    from ledgerweave.streaming.replay import outcomes, stream_replay as streamed
 
     orders = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/orders.parquet").schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
@@ -611,11 +611,9 @@ def stream_replay(spark, sf_dir):
         "o_orderkey + 1 as seq", "concat('p:', o_orderkey) as key", "concat('n:', c_nationkey) as from_account", "concat('n:', (c_nationkey + 1 + o_orderkey % 24) % 25) as to_account", "cast(round(o_totalprice * 100) as bigint) as amount"
     )
     made = orders.where("o_orderkey < 25").selectExpr("o_orderkey - 25 as seq", "'create_account' as kind", "concat('a:', o_orderkey) as key", "0L as ts_nanos", "concat('n:', o_orderkey) as account_id", "'USD' as currency", "5000000L as opening_balance", "cast(null as string) as hold_id", "cast(null as string) as from_account", "cast(null as string) as to_account", "cast(null as bigint) as amount", "false as cancelled")
-    ops = made.unionByName(_transfer_ops(rows)).withColumn("ledger", F.lit("USD"))
     out, at = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
-    q = streamed(ops, "ledger", DAY_NANOS).where("kind = 'transfer'").writeStream.format("parquet").option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start(out)
-    q.awaitTermination()
-    return spark.read.parquet(out).select("seq", "key", "error_code", "from_balance", "to_balance")
+    streamed(made.unionByName(_transfer_ops(rows)), DAY_NANOS, out, at).awaitTermination()
+    return outcomes(spark, out).where("kind = 'transfer'").select("seq", "key", "error_code", "from_balance", "to_balance")
 
 
 @query(f"with {LOG} select currency as writer, lsn, 'transfer' as kind, key, sha256('transfer' || chr(0) || {_JSON}) as fingerprint, {_JSON} as request, cast(2 as integer) as version from log")

@@ -1,58 +1,66 @@
 """Replay of operations as they arrive, with Structured Streaming.
 
-The state of each group (a column of the stream, such as the currency) is kept
-by Spark between micro-batches; outcomes are appended once per operation.
-Within a micro-batch operations are judged in the order of `seq`; micro-batches
-must arrive in that order.
+Each micro-batch is a replay from the state that the ones before have left.
+Accounts and holds are written after each; a key is looked up among the
+outcomes themselves, so no task holds more than the keys that come again, nor
+the operations.  Micro-batches must arrive in the order of `seq`; within one,
+operations are judged in that order.
 """
 
 from __future__ import annotations
 
-import pickle
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerweave.functions.encoding import fingerprint, request_json
-from ledgerweave.functions.validation import shape_error
-from ledgerweave.operators.replay import FOLD, Book
-
-_NAMES = [c.split()[0] for c in FOLD.split(", ")]
-_WHOLE = [c.split()[0] for c in FOLD.split(", ") if c.endswith("bigint")]
-_ARGS = ("seq", "kind", "key", "ts_nanos", "account_id", "currency", "opening_balance", "hold_id", "from_account", "to_account", "amount", "fp")
-
-
-def _plain(x):
-    return None if x is None or x is pd.NA or x != x else x
-
-
-def stream_replay(ops: DataFrame, group: str, lease: int) -> DataFrame:
-    """Outcomes (FOLD columns) of a stream of `ops` rows."""
-    # whole numbers travel as text, as pandas would turn those with nulls into floats
-    checked = ops.withColumn("error", shape_error()).withColumn("fp", fingerprint(F.col("kind"), request_json()))
-    whole = ("seq", "ts_nanos", "opening_balance", "amount")
-    checked = checked.select(F.col(group).alias("_group"), *(F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in _ARGS), "error")
-    fields = ", ".join(f"{n} {'string' if n in _WHOLE else t}" for n, t in (c.split() for c in FOLD.split(", ")))
-
-    def step(key, frames, state):
-        book = Book(lease)
-        if state.exists:
-            book.accounts, book.holds, book.keys = pickle.loads(state.get[0])
-        rows = [r for f in frames for r in f.itertuples(index=False)]
-        out = []
-        for r in sorted(rows, key=lambda r: int(r.seq)):
-            x = {n: _plain(getattr(r, n)) for n in (*_ARGS, "error")}
-            for n in whole:
-                x[n] = None if x[n] is None else int(x[n])
-            error, replayed, logged, commit, result = (x["error"], False, False, None, None) if x["error"] else book.apply(*(x[n] for n in _ARGS))
-            row = (x["seq"], x["key"], x["kind"], error, replayed, logged, commit, *(result or (None,) * 11))
-            out.append([None if v is None else str(v) if n in _WHOLE else v for n, v in zip(_NAMES, row)])
-        state.update((pickle.dumps((book.accounts, book.holds, book.keys)),))
-        yield pd.DataFrame(out, columns=_NAMES, dtype=object)
-
-    told = checked.groupBy("_group").applyInPandasWithState(step, fields, "book binary", "append", GroupStateTimeout.NoTimeout)
-    return told.select(*(F.col(n).cast("bigint").alias(n) if n in _WHOLE else F.col(n) for n in _NAMES))
+from ledgerweave.operators import recovery, replay
+from ledgerweave.plans.schema import OPS
+
+_RESULT = ("status", "settled_amount", "amount", "from_account", "to_account", "hold_id", "from_balance", "from_reserved", "to_balance", "to_reserved", "currency")
+_ACCOUNT = "id string, currency string, balance bigint, reserved bigint, lsn bigint"
+_HOLD = f"hold_id string, from_account string, to_account string, amount bigint, status string, settled_amount bigint, lsn bigint, result struct<{','.join(f'{c}:' + ('bigint' if c.split('_')[-1] in ('amount', 'balance', 'reserved') else 'string') for c in _RESULT)}>, commit bigint"
+
+
+def outcomes(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """What became of the operations (FOLD columns), of micro-batches before a number or of all."""
+    rows = spark.read.schema(f"{replay.FOLD}, batch bigint").parquet(out)
+    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+
+
+def _keys(past: DataFrame) -> DataFrame:
+    """The keys that outcomes have used.  What was asked follows from the result, so it isn't stored again."""
+    own = {"account_id": "from_account", "opening_balance": "amount"}
+    asked = lambda c: F.when(F.col("kind") == "settle", F.col("settled_amount")).otherwise(F.col("amount")) if c == "amount" else F.col(own.get(c, c))
+    # commit as the negative, as the fold takes numbers of a log for keys that it loads
+    rows = past.where("logged").select("key", fingerprint(F.col("kind"), request_json(asked)).alias("fingerprint"), F.struct(*_RESULT).alias("result"), (-F.col("commit_seq")).alias("lsn"), F.col("ts_nanos").alias("committed_at"), "seq")
+    return recovery.last_written(rows, "key", "seq").drop("seq")
+
+
+def stream_replay(ops: DataFrame, lease: int, out: str, at: str) -> StreamingQuery:
+    """Start to judge a stream of `ops` rows, as far as it has come: outcomes go to `out`, state and progress below `at`.
+
+    A micro-batch that is done again after a failure overwrites what it had written.
+    """
+    spark, names = ops.sparkSession, OPS.names
+
+    def judge(batch: DataFrame, k: int) -> None:
+        batch.select(*names).write.mode("overwrite").parquet(f"{at}/operations/{k}")
+        now = spark.read.schema(OPS).parquet(f"{at}/operations/{k}")
+        accounts = holds = keys = None
+        if k:
+            accounts, holds = spark.read.schema(_ACCOUNT).parquet(f"{at}/accounts/{k - 1}"), spark.read.schema(_HOLD).parquet(f"{at}/holds/{k - 1}")
+            used = now.select("key").distinct()
+            keys = _keys(outcomes(spark, out, k).join(used, "key", "left_semi"))
+        told = replay.replay(now, lease, accounts, holds, keys)
+        told.write.mode("overwrite").parquet(f"{out}/batch={k}")
+        told = spark.read.schema(replay.FOLD).parquet(f"{out}/batch={k}").withColumn("wal_lsn", F.when(F.col("logged"), F.col("seq")))
+        images, held = replay.log_images(told)
+        closed = F.col("status") != "reserved"
+        held = told.where("wal_lsn is not null and not replayed and hold_id is not null").select(*held.columns[:-1], F.col("wal_lsn").alias("lsn"), F.when(closed, F.struct(*_RESULT)).alias("result"), F.when(closed, F.col("seq")).alias("commit"))
+        recovery.recover_accounts(images, accounts).write.mode("overwrite").parquet(f"{at}/accounts/{k}")
+        recovery.last_written(held if holds is None else holds.unionByName(held), "hold_id").write.mode("overwrite").parquet(f"{at}/holds/{k}")
+
+    return ops.writeStream.foreachBatch(judge).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
 
 
 def stream_winners(ops: DataFrame, lease: str, at: str = "ts", key: str = "key") -> DataFrame:
