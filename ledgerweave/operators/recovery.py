@@ -95,7 +95,7 @@ def segments(log: DataFrame, limit: int) -> DataFrame:
         return size, held[0]
 
     rows = log.select("writer", "lsn", F.col("size").alias("_size"))
-    return sequential.fold(rows, "writer", "lsn", ["_size"], "size bigint, segment bigint", lambda _: [1, 0], step)
+    return sequential.fold(rows, "writer", "lsn", ["_size"], "size bigint, segment bigint", lambda _: [1, 0], step, few=True)
 
 
 def compactable(log: DataFrame, through: int) -> DataFrame:
